@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodequery.llm.neardup import NearDuplicates, near_pairs
 from lodequery.llm.similar import similar_pairs
 from lodequery.sources.tables import table
 
@@ -12,8 +13,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "vector_records"), table(spark, sf_dir, "collections"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(table(spark, sf_dir, "vector_records"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "vector_records")).groups()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_groups": p5_groups}
 
 
 def oracle_sql() -> dict[str, str]:
