@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodequery.llm.leakage import leaks
 from lodequery.llm.neardup import NearDuplicates, near_pairs
 from lodequery.llm.similar import similar_pairs
 from lodequery.sources.tables import table
@@ -21,8 +22,12 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "vector_records")).groups()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,6 +58,16 @@ class Words:
         self.begin = np.searchsorted(self.start, np.r_[self.offset, n + 1])
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.begin))
 
+    @classmethod
+    def of_hashes(cls, lists: Sequence[np.ndarray]) -> "Words":
+        """Words known by their hashes only, a list for each text."""
+        w = cls.__new__(cls)
+        w.hash = np.concatenate([np.zeros(0, np.uint64), *lists])
+        counts = np.array([len(x) for x in lists], np.int64)
+        w.begin = np.r_[0, np.cumsum(counts)].astype(np.int64)
+        w.text = np.repeat(np.arange(len(lists)), counts)
+        return w
+
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words within a text, and the index of each run's first word."""
         n = len(self.hash) - k + 1
