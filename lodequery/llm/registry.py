@@ -6,9 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodequery.llm.leakage import leaks
 from lodequery.llm.neardup import NearDuplicates, near_pairs
+from lodequery.llm.packing import packed, packing_report
 from lodequery.llm.similar import similar_pairs
+from lodequery.llm.split import contents, oversized, pieces
 from lodequery.sources.tables import table
 
+_CURRENT = """cur as (select * from vector_records where id is not null
+  qualify row_number() over (partition by id order by updated_at desc nulls last, seq desc nulls last) = 1)"""
+
+ORACLE = {
+    "p4_found": f"""with {_CURRENT},
+content as (
+  select id, trim(case when trim(coalesce(text, ''), E' \\t\\r\\n') <> '' then text else body end, E' \\t\\r\\n') as content
+  from cur left join raw_contents using (content_ref))
+select id, case when regexp_matches(content, '[^ \\t\\r\\n]{{501}}') then 'forced' else 'natural' end as kind
+from content where length(content) > 500""",
+    "p5_found": f"""with {_CURRENT},
+w as (select id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from cur where text is not null),
+g as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w where len(w) >= 25),
+n as (select id, count(*) as n from g group by id),
+p as (select a.id as id_a, b.id as id_b, count(*) as k from g a join g b on a.g = b.g and a.id < b.id group by all)
+select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+}
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "vector_records"), table(spark, sf_dir, "collections"))
@@ -26,9 +46,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(table(spark, sf_dir, "vector_records"), table(spark, sf_dir, "raw_contents"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(contents(table(spark, sf_dir, "vector_records"), table(spark, sf_dir, "raw_contents")))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p6_packed(spark, sf_dir))
+
+
+QUERIES = (p1_found, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_report, p7_found)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
