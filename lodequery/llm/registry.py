@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodequery.llm.leakage import leaks
 from lodequery.llm.neardup import NearDuplicates, near_pairs
 from lodequery.llm.packing import packed, packing_report
+from lodequery.llm.reading import reading_levels
 from lodequery.llm.similar import similar_pairs
 from lodequery.llm.split import contents, oversized, pieces
 from lodequery.sources.tables import table
@@ -62,7 +64,17 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p6_packed(spark, sf_dir))
 
 
-QUERIES = (p1_found, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_report, p7_found)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("lang").alias("lang"))
+    return levels.join(docs, "doc_id").groupBy("lang", "level").agg(F.count("*").alias("documents"), F.round(F.avg("median_grade"), 4).alias("mean_grade"))
+
+
+QUERIES = (p1_found, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_report, p7_found, p8_found, p8_profile)
 
 
 def queries() -> dict:
