@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.llm.leakage import leaks
+from lodequery.llm.names import entity_groups, same_entities
 from lodequery.llm.neardup import NearDuplicates, near_pairs
 from lodequery.llm.packing import packed, packing_report
 from lodequery.llm.reading import reading_levels
@@ -48,6 +49,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_entities(table(spark, sf_dir, "entities"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_groups(table(spark, sf_dir, "entities"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(table(spark, sf_dir, "vector_records"), table(spark, sf_dir, "raw_contents"))
 
@@ -74,7 +83,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.join(docs, "doc_id").groupBy("lang", "level").agg(F.count("*").alias("documents"), F.round(F.avg("median_grade"), 4).alias("mean_grade"))
 
 
-QUERIES = (p1_found, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_report, p7_found, p8_found, p8_profile)
+QUERIES = (p1_found, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_report, p7_found, p8_found, p8_profile)
 
 
 def queries() -> dict:
