@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodequery.plans import reference_queries
+from lodequery.plans import reference_queries, search_queries
 
-MODULES = (reference_queries,)
+MODULES = (search_queries, reference_queries)
 
 
 def queries() -> dict:
