@@ -131,7 +131,7 @@ class Graph:
         ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
         ids = np.where(np.isneginf(s), n, ids)
         to = spread(x, n, ids, s, links)
-        layer[a:b, :links] = to
+        layer[a:b, : to.shape[1]] = to
         # Links back, the nearest first; a node whose slots are full gets its links chosen anew.
         r, c = np.nonzero(to < n)
         target, source = to[r, c], (r + a).astype(np.int32)
