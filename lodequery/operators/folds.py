@@ -12,13 +12,14 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, Any]], out: str, out_type: str) -> DataFrame:
     """``df`` with a column ``out``: for each row in ``order``, what ``step(state, row)`` gives besides the next state."""
     spark = df.sparkSession
     schema = spark.createDataFrame([], f"`{out}` {out_type}").schema
-    full = df.schema.add(schema[0])
+    full = StructType([*df.schema.fields, schema[0]])
     read = list(dict.fromkeys([*keys, *columns]))
     arrow = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[out_type]
 

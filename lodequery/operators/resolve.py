@@ -17,21 +17,26 @@ SIMILARITY = 0.9
 SUFFIXED = ("ORGANIZATION", "PRODUCT")
 
 
+def _piece(text: str, n: str, i: str, shift: str = "0") -> str:
+    """SQL of piece i of a text, were it n long: with up to n / 9 edits one of n / 9 + 1 equal pieces stands unchanged."""
+    width = f"cast(floor({n} / (floor({n} / 9) + 1)) as int)"
+    at = f"{i} * {width} + 1 + {shift}"
+    return f"struct({i} as i, {n} as n, case when {at} > 0 then substring({text}, {at}, {width}) end as piece)"
+
+
 def _blocks(df: DataFrame, name: str, probe: bool) -> DataFrame:
-    """Keys of a normalised name: its pieces; a probe has the pieces of every length and place that a close name may have."""
-    n = F.length(name)
-    edits = F.floor(n / 10).cast("int")
-    if not probe:
-        width = F.floor(n / (edits + 1)).cast("int")
-        piece = F.expr(f"transform(sequence(0, cast(floor(length({name}) / 10) as int)), i -> struct(i as i, length({name}) as n, substring({name}, i * cast(floor(length({name}) / (floor(length({name}) / 10) + 1)) as int) + 1, cast(floor(length({name}) / (floor(length({name}) / 10) + 1)) as int)) as piece))")
-        return df.where(width > 0).withColumn("b", F.explode(piece))
-    reach = f"cast(floor(length({name}) / 9) as int)"
-    each = F.expr(
-        f"flatten(transform(sequence(greatest(1, length({name}) - {reach}), length({name}) + {reach}), n -> "
-        f"flatten(transform(sequence(0, cast(floor(n / 10) as int)), i -> transform(sequence(-cast(floor(n / 10) as int), cast(floor(n / 10) as int)), s -> "
-        f"struct(i as i, n as n, case when i * cast(floor(n / (floor(n / 10) + 1)) as int) + 1 + s > 0 then substring({name}, i * cast(floor(n / (floor(n / 10) + 1)) as int) + 1 + s, cast(floor(n / (floor(n / 10) + 1)) as int)) end as piece))))))"
-    )
-    return df.withColumn("b", F.explode(F.array_distinct(each)))
+    """Keys of a normalised name: its pieces; a probe has the pieces of every length and shift that a close name may have.
+
+    A known name of n characters and one of m are close with at most max(n, m) / 10 edits, and so with at most n / 9.
+    """
+    if probe:
+        m = f"length({name})"
+        shifts = f"transform(sequence(-cast(floor(n / 9) as int), cast(floor(n / 9) as int)), s -> {_piece(name, 'n', 'i', 's')})"
+        keys = f"flatten(transform(sequence(greatest(1, {m} - cast(floor({m} / 9) as int)), {m} + cast(floor({m} / 9) as int)), n -> flatten(transform(sequence(0, cast(floor(n / 9) as int)), i -> {shifts}))))"
+    else:
+        n = f"length({name})"
+        keys = f"transform(sequence(0, cast(floor({n} / 9) as int)), i -> {_piece(name, n, 'i')})"
+    return df.withColumn("b", F.explode(F.array_distinct(F.expr(keys))))
 
 
 def resolve(candidates: DataFrame, entities: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
