@@ -144,11 +144,13 @@ def _cut(limit: int, overlap: int):
 
 def contents(records: DataFrame, raw_contents: DataFrame) -> DataFrame:
     """``id, content``: the current version's text or, if that is null or blank, the body its content_ref points to."""
-    cur = current_version(records.select("id", "text", "content_ref", "updated_at", "seq"), "id")
     blank = F.coalesce(F.trim("text", F.lit(WHITE)) == "", F.lit(True))
-    own = cur.where(~blank).select("id", F.col("text").alias("content"))
+    # Blank texts are told before versions are, so that the branch that looks up bodies moves no texts.
+    rows = records.select("id", "updated_at", "seq", blank.alias("blank"), "text", "content_ref")
+    own = current_version(rows.select("id", "updated_at", "seq", "blank", "text"), "id").where("not blank").select("id", F.col("text").alias("content"))
+    lent = current_version(rows.select("id", "updated_at", "seq", "blank", "content_ref"), "id").where("blank and content_ref is not null").select("id", "content_ref")
     body = raw_contents.where("content_ref is not null and body is not null").select("content_ref", F.col("body").alias("content"))
-    return own.unionByName(cur.where(blank & F.col("content_ref").isNotNull()).select("id", "content_ref").join(body, "content_ref").select("id", "content"))
+    return own.unionByName(lent.join(body, "content_ref").select("id", "content"))
 
 
 def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
