@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The words that keyword search leaves out.
 STOP_WORDS = (
@@ -101,6 +104,47 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, SECRET_PARAMETER, "$1" + MASK)
 
 
+def _masked(x):
+    """A parsed JSON value with the values of sensitive keys masked, and of a field's value where the field is a password."""
+    if isinstance(x, dict):
+        secret = "password" in (x.get("type"), x.get("fieldType"), x.get("inputType")) or x.get("isSensitive") is True
+        hide = lambda k: k.lower() in SENSITIVE_KEYS or secret and k.lower() in ("value", "text", "input")
+        return {k: MASK if hide(k) else _masked(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_masked(v) for v in x]
+    return _redacted(x) if isinstance(x, str) else x
+
+
+def _redacted(text: str) -> str:
+    for pattern in SECRET_PATTERNS:
+        text = re.sub(pattern, MASK, text)
+    return re.sub(SECRET_PARAMETER, r"\1" + MASK, text)
+
+
+def _redacted_json(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        return json.dumps(_masked(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return _redacted(text)
+
+
+@F.pandas_udf(StringType())
+def redact_json(s: pd.Series) -> pd.Series:
+    """JSON with secrets masked at any depth, as canonical JSON; what isn't JSON is redacted as text. Any shape of object
+    may come, so this is Python over Arrow batches."""
+    return s.map(_redacted_json)
+
+
+#: Words that a capability's name or description may not have.
+BANNED_WORDS = "eval shell_exec arbitrary_code system_exec remote_shell command_execution".split()
+
+
+def is_banned_capability(text: Column) -> Column:
+    return text.rlike(rf"(?i)\b(?:{'|'.join(BANNED_WORDS)})\b")
+
+
 #: Phrases of injected instructions; only the first of each is replaced.
 INJECTIONS = (
     r"ignore (?:all|previous) instructions",

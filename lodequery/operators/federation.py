@@ -55,3 +55,23 @@ def match_capability(capabilities: DataFrame, request: str) -> DataFrame:
     name, _, version = request.partition("@")
     hit = capabilities.where((F.col("capability_id") == name) | (F.lower("name") == name.lower())).where(compatible(F.col("version"), version))
     return hit.orderBy(F.col("version") != F.lit(version), "seq").limit(1)
+
+
+def find_capabilities(capabilities: DataFrame, text: str | None = None, risk: str | None = None, provider: str | None = None) -> DataFrame:
+    """Capabilities by part of their id, name or description, by risk and by provider."""
+    out = capabilities
+    if text:
+        out = out.where(F.contains(F.lower(F.concat_ws(" ", "capability_id", "name", "description")), F.lit(text.lower())))
+    if risk is not None:
+        out = out.where(F.col("risk") == risk)
+    return out if provider is None else out.where(F.col("provider") == provider)
+
+
+def merge_peers(peers: DataFrame, seen: DataFrame) -> DataFrame:
+    """``agent_id, addresses, trust, seq``: known peers with what was seen of them since: addresses are joined, a blocked
+    peer stays blocked, an unknown one is added."""
+    both = peers.withColumn("_at", F.lit(0)).unionByName(seen.withColumn("trust", F.lit("UNKNOWN")).withColumn("_at", F.lit(1)))
+    each = F.explode_outer("addresses")
+    addresses = both.select("agent_id", each.alias("address")).where("address is not null").distinct().groupBy("agent_id").agg(F.array_sort(F.collect_list("address")).alias("addresses"))
+    state = both.groupBy("agent_id").agg(F.min_by("trust", F.struct("_at", "seq")).alias("trust"), F.min("seq").alias("seq"))
+    return state.join(addresses, "agent_id", "left").select("agent_id", F.coalesce("addresses", F.array().cast("array<string>")).alias("addresses"), "trust", "seq")

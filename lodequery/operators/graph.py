@@ -210,3 +210,13 @@ def provenance(entities: DataFrame, relationships: DataFrame, evidence: DataFram
     return cited.join(evidence.select("evidence_id", "document_id", "chunk_id"), "evidence_id").select("relationship_id", "statement", "evidence_id", "document_id", "chunk_id")
 
 
+
+
+def structured_query(entities: DataFrame, relationships: DataFrame, entity: str | None = None, kind: str | None = None, depth: int = 1) -> DataFrame:
+    """The neighbourhood of the first entity of a name, or, without one, the entities of a type."""
+    if entity is None:
+        return find_entities(entities, kind=kind)
+    first = find_entities(entities, name=entity).orderBy("seq").limit(1).select("entity_id").collect()
+    if not first:
+        return entities.limit(0)
+    return entities.where(F.col("entity_id").isin(neighbors(entities, relationships, first[0][0], depth).nodes))

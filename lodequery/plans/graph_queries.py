@@ -11,6 +11,7 @@ from lodequery.operators import graph as G
 from lodequery.operators import integrity as I
 from lodequery.operators.chunking import chunk_documents
 from lodequery.operators.extract import extract_mentions, extract_relations
+from lodequery.operators.ingest import empty_graph, ingest
 from lodequery.operators.resolve import resolve
 from lodequery.operators.versions import current_version
 from lodequery.sources.tables import table
@@ -143,6 +144,13 @@ def mention_counts(spark, d):
     return extract_mentions(_chunks(spark, d)).groupBy("entity_type", "name").agg(F.count("*").alias("mentions"), F.countDistinct("document_id").alias("documents"))
 
 
+def ingest_documents(spark, d):
+    """All documents into an empty graph: what each part of it has."""
+    g = ingest(empty_graph(spark), table(spark, d, "documents").where("text is not null").select("document_id", "text"))
+    one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n")
+    return one(g.entities, "entities").unionByName(one(g.relationships, "relationships")).unionByName(one(g.evidence, "evidence")).unionByName(one(g.mentions, "mentions"))
+
+
 def relation_counts(spark, d):
     return extract_relations(_chunks(spark, d)).groupBy("predicate").agg(F.count("*").alias("relations"))
 
@@ -150,7 +158,7 @@ def relation_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (degree_counts, reach_d2, reach_predicate, shortest_path_len, neighbors_capped, find_paths, related_documents, evidence_for_entity, provenance, graph_counts, entity_filter, relationship_filter,
-              verify_issues, verify_verdict, repair_merge, cascade_delete, normalize_names, canonical_ids, levenshtein_pairs, resolve_aliases, chunk_invariants, mention_counts, relation_counts)
+              verify_issues, verify_verdict, repair_merge, cascade_delete, normalize_names, canonical_ids, levenshtein_pairs, resolve_aliases, chunk_invariants, mention_counts, relation_counts, ingest_documents)
 }
 
 _G = """with e as (select * from entities where entity_id is not null qualify row_number() over (partition by entity_id order by updated_at desc nulls last, seq desc nulls last) = 1),

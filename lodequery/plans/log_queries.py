@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.functions.text import domain_of, has_injection, may_leak, redact, sanitize, snippet
+from lodequery.functions.text import domain_of, has_injection, may_leak, redact, redact_json, sanitize, snippet
 from lodequery.operators import audit as A
 from lodequery.operators import federation as D
 from lodequery.operators import metrics as M
@@ -149,6 +149,13 @@ def injection_sanitize(spark, d):
     return _texts(spark, d).select("doc_id", sanitize(F.col("text")).alias("text"), has_injection(F.col("text")).alias("found"))
 
 
+def redact_metadata(spark, d):
+    """Metadata of all relationships, given a password field and a token."""
+    r = table(spark, d, "relationships").where("metadata is not null")
+    dressed = F.concat(F.lit('{"meta": '), "metadata", F.lit(', "field": {"type": "password", "value": "x"}, "Token": "abc"}'))
+    return r.select("seq", redact_json(dressed).alias("metadata"))
+
+
 def exfil_scan(spark, d):
     return _texts(spark, d).select("doc_id", may_leak(F.col("text")).alias("leaks"))
 
@@ -181,7 +188,7 @@ def grounded_claims(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (chain_hashes, chain_verify, session_export_bounds, audit_query, audit_text_search, audit_page, replay_timeline, replay_summary, severity_counts, action_counters, latency_percentiles, health_rollup,
-              rate_limit_exact, fixed_window_limit, rate_limit_upper_bound, tumbling_counts, session_counts, nonce_first_seen, policy_decisions, domains, redact_secrets, injection_sanitize, exfil_scan, snippets,
+              rate_limit_exact, fixed_window_limit, rate_limit_upper_bound, tumbling_counts, session_counts, nonce_first_seen, policy_decisions, domains, redact_secrets, injection_sanitize, redact_metadata, exfil_scan, snippets,
               reputation_scores, federated_topk, grounded_claims)
 }
 
@@ -242,6 +249,8 @@ select event_type, n as count, round(total, 3) as total, round(v[1], 3) as min,
   when starts_with(target, 'exports/') then 'DENY|text' else 'DENY|default' end as x from m) select content_ref, split_part(x, '|', 1) as decision, split_part(x, '|', 2) as rule from r""",
     "redact_secrets": f"with {_TEXTS} select doc_id, regexp_replace({_SECRETS}, '([?&](?:api_key|token|access_token|secret|password|auth)=)[^&]+', '\\1[REDACTED]', 'gi') as text from x",
     "injection_sanitize": f"with {_TEXTS} select doc_id, {_replaced('text', _INJ, _MARK, 'i')} as text, regexp_matches(text, '{'|'.join(_INJ)}', 'i') as found from x",
+    "redact_metadata": """select seq, case when not json_valid(metadata) then '{"meta": ' || metadata || ', "field": {"type": "password", "value": "x"}, "Token": "abc"}'
+  else '{"Token":"[REDACTED]","field":{"type":"password","value":"[REDACTED]"},"meta":' || case when json_type(metadata) = 'OBJECT' then (select '{' || coalesce(string_agg('"' || k || '":' || (metadata::json->k)::varchar, ',' order by k), '') || '}' from (select unnest(json_keys(metadata)) as k)) else metadata end || '}' end as metadata from relationships where metadata is not null""",
     "exfil_scan": f"with {_TEXTS} select doc_id, regexp_matches(lower(text), 'private_key|password|cookie|session_secret|auth_token|pkcs8') as leaks from x",
     "snippets": "select doc_id, replace(substr(text, 1, 150), chr(10), ' ') as snippet from documents where text is not null",
     "reputation_scores": f"""with o as (select user_id as peer, list((case event_type {' '.join(f"when '{k}' then {v}" for k, v in _DELTA.items())} end)::double order by ts, event_id) as d from events group by 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions import similarity as M
 from lodequery.functions import text as T
-from lodequery.operators import audit, federation, folds, graph, integrity, metrics, policy, rag, search
+from lodequery.operators import audit, federation, folds, graph, ingest, integrity, metrics, policy, rag, search
 from lodequery.operators.chunking import chunk_documents, chunk_text
 from lodequery.operators.embedding import _embed, embed_query, with_embedding
 from lodequery.operators.extract import mentions_in, relations_in
@@ -336,3 +336,26 @@ def test_files(spark, tmp_path):
     (d / "one.txt").write_text("changed")
     assert rows(stores.verify_backup(kept, stores.file_digests(spark, str(d)))) == [("one.txt", "changed")]
     assert stores.safe_paths(spark.createDataFrame([("a/b",), ("../x",), ("/etc",)], "path string")).count() == 1
+
+
+def test_ingest(spark):
+    docs = spark.createDataFrame([("d1", "Alpha Tool depends on Beta Kit. Rust is used for Alpha Tool."), ("d2", "Alpha Tool depends on Beta Kit!"), ("d3", None)], "document_id string, text string")
+    g = ingest.ingest(ingest.empty_graph(spark), docs)
+    edges = {(r["subject_entity_id"], r["predicate"], r["object_entity_id"]): len(r["evidence_ids"]) for r in g.relationships.collect()}
+    assert edges[("ent_concept_alpha_tool", "DEPENDS_ON", "ent_concept_beta_kit")] == 2 and len(edges) == 2
+    again = ingest.ingest(g, docs.where("document_id = 'd1'"))
+    assert again.relationships.count() == 2 and again.evidence.count() == g.evidence.count() == 3 and again.mentions.count() == g.mentions.count()
+    assert again.entities.count() == g.entities.count() == 3
+    assert ingest.ingest(g, docs.limit(0)).relationships.count() == 2
+
+
+def test_redaction_and_registries(spark):
+    raw = ['{"a": {"Password": 1, "b": ["Bearer abc.def", {"type": "password", "value": "x", "name": "y"}]}}', "not json sk-abcdefghijklmnopqrstuv", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.redact_json("t")).collect()] == ['{"a":{"Password":"[REDACTED]","b":["[REDACTED]",{"name":"y","type":"password","value":"[REDACTED]"}]}}', "not json [REDACTED]", None]
+    assert value(spark, T.is_banned_capability(F.lit("may EVAL code"))) and not value(spark, T.is_banned_capability(F.lit("evaluate")))
+    peers = spark.createDataFrame([("p", ["a"], "BLOCKED", 1)], "agent_id string, addresses array<string>, trust string, seq bigint")
+    seen = spark.createDataFrame([("p", ["b", "a"], 2), ("q", None, 3)], "agent_id string, addresses array<string>, seq bigint")
+    assert rows(federation.merge_peers(peers, seen)) == [("p", ["a", "b"], "BLOCKED", 1), ("q", [], "UNKNOWN", 3)]
+    caps = spark.createDataFrame([("c", "Search", "finds documents", "LOW", "p")], "capability_id string, name string, description string, risk string, provider string")
+    assert federation.find_capabilities(caps, "DOCUMENT", "LOW", "p").count() == 1 and federation.find_capabilities(caps, risk="HIGH").count() == 0
