@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequery.operators.graph import ends
+from lodequery.storage import written
 
 HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 
@@ -17,7 +18,9 @@ def _edge_key() -> list:
 def issues(entities: DataFrame, relationships: DataFrame, evidence: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """``issue, id, ref, severity``: references to entities that don't exist, missing evidence, repeated edges, entities
     without edges and mentions. Joins with missing keys are anti joins; nothing is collected."""
-    known = entities.select("entity_id").distinct()
+    # Both are read several times, so versions and filters that lie behind them are worked out once.
+    known = written(entities.select("entity_id").distinct(), "known")
+    relationships = written(relationships.select("relationship_id", "subject_entity_id", "predicate", "object_entity_id", "evidence_ids", "seq"), "edges")
     parts = []
     for c in ("subject_entity_id", "object_entity_id"):
         lost = relationships.select("relationship_id", F.col(c).alias("entity_id")).join(known, "entity_id", "left_anti")
@@ -52,6 +55,7 @@ def repair(entities: DataFrame, relationships: DataFrame, evidence: DataFrame) -
     whole = relationships
     for c in ("subject_entity_id", "object_entity_id"):
         whole = whole.join(known.withColumnRenamed("entity_id", c), c, "left_semi")
+    whole = written(whole.select("relationship_id", "subject_entity_id", "predicate", "object_entity_id", "confidence", "evidence_ids", "seq"), "whole")
     cited = whole.select("relationship_id", F.posexplode("evidence_ids").alias("at", "evidence_id"))
     there = cited.join(evidence.select("evidence_id").distinct(), "evidence_id", "left_semi")
     lists = there.groupBy("relationship_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence_id"))), lambda x: x["evidence_id"]).alias("kept"))

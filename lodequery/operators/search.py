@@ -85,9 +85,15 @@ def indexed_text() -> Column:
     return F.concat_ws(" ", "text", "metadata")
 
 
+def _tokenized(records: DataFrame, *columns: str) -> DataFrame:
+    """``id, seq, tokens`` and other columns. The tokens come out of a Generate of one row, below which no filter on what is
+    made of them can be pushed: else every condition would tokenize the text again."""
+    return records.select("id", "seq", *columns, F.explode(F.array(bm25_tokens(indexed_text()))).alias("tokens"))
+
+
 def postings(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``term, id, seq, tf`` and ``id, seq, dl``: the index of a collection, to be written once and searched often."""
-    t = records.select("id", "seq", bm25_tokens(indexed_text()).alias("tokens"))
+    t = _tokenized(records)
     return t.select("id", "seq", F.explode("tokens").alias("term")).groupBy("term", "id", "seq").agg(F.count("*").alias("tf")), t.select("id", "seq", F.size("tokens").alias("dl"))
 
 
@@ -108,12 +114,11 @@ def bm25_search(records: DataFrame, query: str, k: int = TOP_K, where: Mapping[s
     scores; neither explodes tokens or shuffles more than a row of each partition.
     """
     wanted = Counter(query_terms(query))
-    tokens = bm25_tokens(indexed_text())
     if not wanted:
         return records.select("id", "seq", F.lit(0.0).alias("sparse_score")).limit(0)
     terms = list(wanted)
     tf = [F.size(_equal_to(w)) for w in terms]
-    counted = records.select("id", "seq", *(["metadata"] if where else []), tokens.alias("tokens")).select("*", F.size("tokens").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)]).drop("tokens")
+    counted = _tokenized(records, *(["metadata"] if where else [])).select("*", F.size("tokens").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)]).drop("tokens")
     stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()  # one row
     n, average = stats["n"], (stats["total"] or 0) / stats["n"] if stats["n"] else 1.0
     score = F.lit(0.0)
