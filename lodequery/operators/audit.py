@@ -114,6 +114,25 @@ def replay_summary(log: DataFrame) -> DataFrame:
     return each.withColumn("duration_ms", span).withColumn("status", F.coalesce("status", F.lit("RUNNING")))
 
 
+#: Actions of a browser.
+BROWSER_ACTIONS = "navigate click fill submit read evaluate hover pressKey".split()
+
+
+def alerts(log: DataFrame) -> DataFrame:
+    """Entries of high or critical severity, or marked as alerts."""
+    marked = F.coalesce(F.col("alert"), F.lit(False)) if "alert" in log.columns else F.lit(False)
+    return log.where(F.col("severity").isin("HIGH", "CRITICAL") | marked)
+
+
+def policy_audit(log: DataFrame) -> DataFrame:
+    return log.where("policy_decision is not null")
+
+
+def browser_trace(log: DataFrame) -> DataFrame:
+    """Browser actions that were proposed or executed."""
+    return log.where(F.col("action").isin(BROWSER_ACTIONS) & F.col("event_type").isin("ACTION_PROPOSED", "ACTION_EXECUTED"))
+
+
 def classify(event_type: Column, decision: Column, error: Column, sensitive: Column, indicators: Column, tampered: Column) -> Column:
     """Severity, the first that applies."""
     failed = F.coalesce(error, F.lit(""))

@@ -166,9 +166,11 @@ def fuse(dense: DataFrame | None, sparse: DataFrame | None, k: int = TOP_K, dens
     return ranked.orderBy(*order).limit(max(1, k)).select("id", "score", "dense_score", "sparse_score")
 
 
-def hybrid_search(records: DataFrame, query: str | None = None, vector: Sequence[float] | None = None, k: int = TOP_K, mode: str = "hybrid", dimension: int | None = None, metric: str = COSINE, where: Mapping[str, Any] | None = None, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
+def hybrid_search(records: DataFrame, query: str | None = None, vector: Sequence[float] | None = None, k: int = TOP_K, mode: str = "hybrid", dimension: int | None = None, metric: str = COSINE, where: Mapping[str, Any] | None = None, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, min_score: float = 0.0) -> DataFrame:
     """Search of a collection: ``mode`` is dense, sparse or hybrid. Each side gives twice k candidates; a query without a
-    vector is embedded; a side without its input gives none."""
+    vector is embedded; a side without its input gives none. With ``min_score`` above 0, results below it are left out."""
+    if min_score > 0:
+        return hybrid_search(records, query, vector, k, mode, dimension, metric, where, dense_weight, sparse_weight).where(F.col("score") >= min_score)
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     if vector is None and query and dimension and mode != "sparse":

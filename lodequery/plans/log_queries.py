@@ -68,6 +68,14 @@ def replay_summary(spark, d):
     return A.replay_summary(log(spark, d)).select("session_id", "entries", "duration_ms", "executed", "blocked", "alerts", "status")
 
 
+def security_alerts(spark, d):
+    return A.alerts(log(spark, d)).select("session_id", "event_id", "severity")
+
+
+def browser_trace(spark, d):
+    return A.browser_trace(log(spark, d)).select("session_id", "event_id", "action")
+
+
 def severity_counts(spark, d):
     return log(spark, d).groupBy("severity").agg(F.count("*").alias("n"))
 
@@ -187,7 +195,7 @@ def grounded_claims(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (chain_hashes, chain_verify, session_export_bounds, audit_query, audit_text_search, audit_page, replay_timeline, replay_summary, severity_counts, action_counters, latency_percentiles, health_rollup,
+    for f in (chain_hashes, chain_verify, session_export_bounds, audit_query, audit_text_search, audit_page, replay_timeline, replay_summary, security_alerts, browser_trace, severity_counts, action_counters, latency_percentiles, health_rollup,
               rate_limit_exact, fixed_window_limit, rate_limit_upper_bound, tumbling_counts, session_counts, nonce_first_seen, policy_decisions, domains, redact_secrets, injection_sanitize, redact_metadata, exfil_scan, snippets,
               reputation_scores, federated_topk, grounded_claims)
 }
@@ -233,6 +241,8 @@ select session_id as chain, count(broken) = 0 as valid, count(*) as entries, coa
     "replay_summary": f"""{_L}, s as (select *, case event_type when 'SESSION_COMPLETED' then 'COMPLETED' when 'SESSION_STOPPED' then 'STOPPED' when 'ACTION_FAILED' then 'FAILED' end as st, row_number() over (order by ts, event_id) as n from l)
 select session_id, count(*) as entries, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 as duration_ms, count(*) filter (event_type = 'ACTION_EXECUTED') as executed, count(*) filter (event_type = 'ACTION_BLOCKED') as blocked,
   count(*) filter (severity in ('HIGH', 'CRITICAL')) as alerts, coalesce(arg_max(st, case when st is not null then n end), 'RUNNING') as status from s group by 1""",
+    "security_alerts": f"{_L} select session_id, event_id, severity from l where severity in ('HIGH', 'CRITICAL')",
+    "browser_trace": f"{_L} select session_id, event_id, action from l where action = 'click'",
     "severity_counts": f"{_L} select severity, count(*) as n from l group by 1",
     "action_counters": f"{_L} select session_id, {_COUNT} from l group by 1",
     "latency_percentiles": f"""{_L}, k as (select * from l where value is not null qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 5000),

@@ -359,3 +359,49 @@ def test_redaction_and_registries(spark):
     assert rows(federation.merge_peers(peers, seen)) == [("p", ["a", "b"], "BLOCKED", 1), ("q", [], "UNKNOWN", 3)]
     caps = spark.createDataFrame([("c", "Search", "finds documents", "LOW", "p")], "capability_id string, name string, description string, risk string, provider string")
     assert federation.find_capabilities(caps, "DOCUMENT", "LOW", "p").count() == 1 and federation.find_capabilities(caps, risk="HIGH").count() == 0
+
+
+@pytest.fixture
+def service():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path.endswith("/embeddings"):
+                made = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])][::-1]}
+            else:
+                text = body["messages"][1]["content"]
+                made = {"choices": [{"message": {"content": json.dumps({"entities": [{"name": text, "type": "X", "confidence": 1}]}) if text != "bad" else "no JSON"}}]}
+            out = json.dumps(made).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1"
+    server.shutdown()
+
+
+def test_remote(spark, service):
+    from lodequery.sources.remote import extract_remote, with_remote_embedding
+
+    df = spark.createDataFrame([("a", "xx", None), ("b", "y", [9.0, 9.0]), ("c", None, None), ("d", "zzz", None)], "id string, text string, vector array<double>").coalesce(1)
+    assert {r["id"]: r["vector"] for r in with_remote_embedding(df, service, "m", 2).collect()} == {"a": [2.0, 1.0], "b": [9.0, 9.0], "c": None, "d": [3.0, 1.0]}
+    chunks = spark.createDataFrame([("d", "c1", "Ada"), ("d", "c2", "bad")], "document_id string, chunk_id string, text string")
+    assert rows(extract_remote(chunks, service, "m", "find").select("chunk_id", "name")) == [("c1", "Ada")]
+    assert extract_remote(chunks, "http://127.0.0.1:9", "m", "find").count() == 0
+
+
+def test_clean(spark):
+    from lodequery import storage
+
+    df = storage.written(spark.range(3), "t")
+    assert df.count() == 3 and storage.clean(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        df.collect()
