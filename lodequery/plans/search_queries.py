@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodequery.functions.similarity import is_valid_vector
 from lodequery.functions.text import BASES, MARKED, STOP_WORDS, bm25_tokens
 from lodequery.operators import search as S
-from lodequery.operators.embedding import embed_udf, token_slots
+from lodequery.operators.embedding import embed_query, embed_udf, token_slots
 from lodequery.operators.filters import metadata_filter
 from lodequery.operators.versions import current_version
 from lodequery.sources.tables import table
@@ -95,11 +95,11 @@ def _sides(spark, d):
 
 
 def hybrid_topk(spark, d):
-    return S.fuse(*_sides(spark, d), 10).select("id", F.round("score", 5).alias("score"))
+    return S.fuse(*_sides(spark, d), 10).select("id", "score")
 
 
 def hybrid_weights(spark, d):
-    return S.fuse(*_sides(spark, d), 10, 1, 1).select("id", F.round("score", 5).alias("score"))
+    return S.fuse(*_sides(spark, d), 10, 1, 1).select("id", "score")
 
 
 def hybrid_total_candidates(spark, d):
@@ -107,7 +107,7 @@ def hybrid_total_candidates(spark, d):
 
 
 def hybrid_search_text(spark, d):
-    return S.hybrid_search(collection(spark, d), QUERY, dimension=DIMENSION, k=10)
+    return S.hybrid_search(collection(spark, d), QUERY, dimension=DIMENSION, k=10).select("id", "score")
 
 
 def minmax_scores(spark, d):
@@ -199,6 +199,7 @@ _DOCS = "select document_id as id, doc_id as seq, text as txt from documents"
 _RECS = "select id, seq, metadata, concat_ws(' ', text, metadata) as txt from cur"
 _COLL_TEXT = f"select id, seq, concat_ws(' ', text, metadata) as txt from cur where collection_id = '{COLLECTION}'"
 _EN = "where json_valid(docs.metadata) and json_type(docs.metadata::json, '$.language') = 'VARCHAR' and docs.metadata::json->>'$.language' = 'en'"
+_HYBRID_TEXT = "[" + ", ".join(repr(x) + "::double" for x in embed_query(QUERY, DIMENSION)) + "]"
 _HYBRID = f"""with {_COLL}, {_bm25_sql(_COLL_TEXT, TERMS, 20)},
 d as (select id, seq, {_SIM['cosine'].format(q=_Q)} as x from c order by x desc, seq limit 20),
 s as (select id, seq, s as x from scores order by s desc, seq limit 20),
@@ -208,10 +209,22 @@ ns as (select id, seq, case when max(x) over () = min(x) over () then 1.0 else (
 
 def _fuse_sql(wd: float, ws: float) -> str:
     score = f"round(coalesce({wd} * nd.n, 0) + coalesce({ws} * ns.n, 0), 6)"
-    return f"{_HYBRID} select coalesce(nd.id, ns.id) as id, round({score}, 5) as score from nd full outer join ns on nd.id = ns.id order by {score} desc, nd.id is null, nd.n desc, ns.n desc, coalesce(nd.seq, ns.seq) limit 10"
+    return f"{_HYBRID} select coalesce(nd.id, ns.id) as id, {score} as score from nd full outer join ns on nd.id = ns.id order by {score} desc, nd.id is null, nd.n desc, ns.n desc, coalesce(nd.seq, ns.seq) limit 10"
 
 
 _UNITS = "flatten(list_transform(string_split({t}, ''), lambda c: case when unicode(c) > 65535 then [(55296 + ((unicode(c) - 65536) >> 10))::ubigint, (56320 + ((unicode(c) - 65536) & 1023))::ubigint] else [unicode(c)::ubigint] end))"
+
+
+def _batch_ctes(text: str, p: str = "") -> str:
+    """BM25 of all evaluation items over the documents; p: prefix of the names."""
+    return f"""{p}asked as (select query_id, term, count(*) as times from (select item_id as query_id, unnest({_tokens_sql(text)}) as term from eval_items where text is not null) group by all),
+{p}scored as (select query_id, docs.id, docs.seq, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / average))) as s
+  from {p}asked join alldf using (term) join alltf using (term) join docs using (id) cross join st group by all),
+{p}best as (select *, row_number() over (partition by query_id order by round(s, 9) desc, seq) as place from {p}scored)"""
+
+
+_BATCH = f"""with {_bm25_sql(_DOCS, TERMS, 10)}, alltf as (select id, term, count(*) as tf from post group by all), alldf as (select term, count(*) as df from alltf group by term),
+{_batch_ctes('text')}"""
 _FNV = "list_reduce(" + _UNITS + ", lambda h, c: ((xor(h, c) * 16777619) & 4294967295)::ubigint, 2166136261::ubigint)"
 
 
@@ -250,6 +263,12 @@ select query, id, round(s, 6) as score from s qualify row_number() over (partiti
     "corpus_stats": f"with t as (select len(coalesce({_tokens_sql('text')}, [])) as dl from documents) select count(*) as n_docs, sum(dl)::bigint as total_length, round(sum(dl) / count(*), 6) as avg_length from t",
     "hybrid_topk": _fuse_sql(0.7, 0.3),
     "hybrid_weights": _fuse_sql(0.5, 0.5),
+    "hybrid_search_text": _fuse_sql(0.7, 0.3).replace(_Q, _HYBRID_TEXT),
+    "bm25_batch": _BATCH + " select query_id, id, round(s, 4) as score from best where place <= 3",
+    "retrieval_eval": f"""{_BATCH}, {_batch_ctes('substr(text, 1, 200)', 'h')},
+x as (select query_id, h.id as expected from hbest h where place = 1),
+e as (select x.query_id, b.place from x left join best b on b.query_id = x.query_id and b.id = x.expected and b.place <= 10)
+select count(*) as queries, round(avg(case when place is null then 0 else 1 end), 6) as recall, round(avg(case when place is null then 0 else 0.1 end), 6) as precision, round(avg(coalesce(1 / place, 0)), 6) as mrr from e""",
     "hybrid_total_candidates": f"{_HYBRID} select count(*) as total_candidates from (select id from d union select id from s)",
     "minmax_scores": f"{_HYBRID} select id, round(n, 6) as normalized from nd",
     "record_counts": f"with {_CUR} select c.collection_id, c.name, count(cur.id) as live_count from collections c left join cur using (collection_id) group by all",
