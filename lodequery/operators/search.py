@@ -9,17 +9,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodequery.functions.similarity import COSINE, DOT, EUCLIDEAN, fusion_weights, is_valid_vector, min_max, similarity, vector_literal
 from lodequery.functions.text import bm25_tokens, query_terms
 from lodequery.operators.embedding import embed_query
 from lodequery.operators.filters import metadata_filter
+from lodequery.storage import written
 
 K1, B = 1.2, 0.75
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.7, 0.3
@@ -110,8 +112,8 @@ def _equal_to(term: str) -> Column:
 def bm25_search(records: DataFrame, query: str, k: int = TOP_K, where: Mapping[str, Any] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """``id, seq, sparse_score`` of the k records that fit a query best; a term given twice counts twice.
 
-    Term and document statistics are those of all records; the filter comes after them. One pass counts them, one
-    scores; neither explodes tokens or shuffles more than a row of each partition.
+    Term and document statistics are those of all records; the filter comes after them. Texts are tokenized in one pass,
+    which neither explodes tokens nor shuffles; only records with a term of the query go further.
     """
     wanted = Counter(query_terms(query))
     if not wanted:
@@ -119,16 +121,17 @@ def bm25_search(records: DataFrame, query: str, k: int = TOP_K, where: Mapping[s
     terms = list(wanted)
     tf = [F.size(_equal_to(w)) for w in terms]
     counted = _tokenized(records, *(["metadata"] if where else [])).select("*", F.size("tokens").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)]).drop("tokens")
-    stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()  # one row
+    seen = Observation()  # the statistics of all records, taken while the few that have a term are written
+    found = counted.observe(seen, F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    counted = written(found.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])), "hits")
+    stats = seen.get
     n, average = stats["n"], (stats["total"] or 0) / stats["n"] if stats["n"] else 1.0
     score = F.lit(0.0)
-    hit = F.lit(False)
     for i, w in enumerate(terms):
         t = F.col(f"tf{i}")
         idf = math.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         score = score + F.lit(wanted[w] * idf) * (t * (k1 + 1)) / (t + k1 * (1 - b + b * F.col("dl") / F.lit(average or 1.0)))
-        hit = hit | (t > 0)
-    return counted.where(hit & _passes(where)).select("id", "seq", score.alias("sparse_score")).orderBy(F.col("sparse_score").desc(), "seq").limit(max(1, k))
+    return counted.where(_passes(where)).select("id", "seq", score.alias("sparse_score")).orderBy(F.col("sparse_score").desc(), "seq").limit(max(1, k))
 
 
 def bm25_search_many(records: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
