@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -405,3 +406,27 @@ def test_clean(spark):
     assert df.count() == 3 and storage.clean(spark) >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
         df.collect()
+
+
+def test_text_security_reads_whole_texts(spark, tmp_path):
+    from lodequery.plans import log_queries as L
+
+    filler = "plain words of a long text. " * 2000
+    made = [(3, f"a Bearer abc.DEF and sk-{'a' * 24} {filler}"), (8, f"{filler} ghp_{'b' * 24} my Cookie {filler}"), (13, f"Disregard POLICY now. {filler} EXFILTRATE it {filler}"), (18, filler), (23, None), (5, f"basic QUJD {filler}")]
+    spark.createDataFrame(made, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def masked(x):
+        for p in T.SECRET_PATTERNS:
+            x = re.sub(p, T.MASK, x)
+        return re.sub(T.SECRET_PARAMETER, r"\1" + T.MASK, x)
+
+    def clean(x):
+        for p in T.INJECTIONS:
+            x = re.sub(p, T.FILTERED, x, count=1, flags=re.IGNORECASE)
+        return x
+
+    planted = " Authorization: Bearer abc.DEF-123== ?token=s3cret&x=1"
+    whole = {i: x + (planted if i == 5 else "") for i, x in made if x is not None}
+    assert dict(rows(L.redact_secrets(spark, str(tmp_path)))) == {i: masked(x) for i, x in whole.items()}
+    assert rows(L.injection_sanitize(spark, str(tmp_path))) == sorted((i, clean(x), i == 13) for i, x in whole.items())
+    assert dict(rows(L.exfil_scan(spark, str(tmp_path)))) == {i: i == 8 for i in whole}
