@@ -29,11 +29,12 @@ from lodequery.operators.versions import current_version
 from lodequery.storage import written
 
 PERSON, ORGANIZATION = "PERSON", "ORGANIZATION"
-#: Names that share a deletion and are paired directly; entities of a group of which every pair is a row.
-BUCKET, EXPAND = 100, 200
+#: Names that share a deletion and are paired directly.
+BUCKET = 100
 #: Shortest token that is indexed with its deletions, and shortest that may carry an edit.
 INDEXED, EDITABLE = 4, 3
 _BLOCK = 300  # names compared at once in a bucket of three deletions
+_MEMBERS = 1000  # entities of a group that are paired at once with as many others
 
 #: Short forms of given names, as commonly listed, by the full form.
 NICKNAMES = """
@@ -377,12 +378,22 @@ def entity_groups(entities: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return first.unionByName(rest)
 
 
-def same_entities(entities: DataFrame, bucket: int = BUCKET, expand: int = EXPAND) -> DataFrame:
-    """``entity_id_a, entity_id_b``: every pair of a group; of a group of more than ``expand`` entities each is paired with the one of smallest id."""
+def same_entities(entities: DataFrame, bucket: int = BUCKET, expand: int | None = None) -> DataFrame:
+    """``entity_id_a, entity_id_b``: every pair of a group. If ``expand`` is given, each entity of a group of more than so
+    many is only paired with the one of smallest id."""
     groups = written(entity_groups(entities, bucket), "groups")
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("first")).where("n > 1")
     sized = written(groups.join(sizes, "group_id"), "groups")
-    few = sized.where(F.col("n") <= expand)
-    pairs = few.select("group_id", F.col("entity_id").alias("entity_id_a")).join(few.select("group_id", F.col("entity_id").alias("entity_id_b")), "group_id").where("entity_id_a < entity_id_b")
+    few = sized if expand is None else sized.where(F.col("n") <= expand)
+    # A large group is paired block by block: a of block x meets b of block y, x <= y, so no key of the join has many rows.
+    last = F.ceil(F.col("n") / _MEMBERS).cast("int") - 1
+    block = F.pmod(F.xxhash64("entity_id"), last + 1).cast("int")
+    few = few.select("group_id", "entity_id", block.alias("block"), last.alias("last"))
+    left = few.select("group_id", F.col("entity_id").alias("a"), F.col("block").alias("x"), F.explode(F.sequence("block", "last")).alias("y"))
+    right = few.select("group_id", F.col("entity_id").alias("b"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("x"))
+    met = left.join(right, ["group_id", "x", "y"]).where("x < y or a < b")
+    pairs = met.select(F.least("a", "b").alias("entity_id_a"), F.greatest("a", "b").alias("entity_id_b"))
+    if expand is None:
+        return pairs
     star = sized.where(F.col("n") > expand).where("entity_id <> first").select(F.col("first").alias("entity_id_a"), F.col("entity_id").alias("entity_id_b"))
-    return pairs.select("entity_id_a", "entity_id_b").unionByName(star)
+    return pairs.unionByName(star)

@@ -110,6 +110,17 @@ def test_same_entities(spark):
     assert {("p1", "p2"), ("p1", "p3"), ("p1", "p8")} <= set(rows(star)) and star.count() == 4
 
 
+def test_every_pair_of_a_large_group(spark, monkeypatch):
+    spelled = ["Robert Lurnoloser", "Lurnoloser, Bob", "Robert J. Lurnoloser", "Dr. Robert Lurnolosre"]
+    made = [(f"p{i:03}", spelled[i % 4], "PERSON", None) for i in range(230)] + [("q1", "James Girgelavos", "PERSON", None), ("q2", "Jim Girgelavos", "PERSON", None)]
+    df = spark.createDataFrame([(*m, T0, i, "k", "n", 0) for i, m in enumerate(made)], ENT)
+    ids = [m[0] for m in made[:230]]
+    want = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]] + [("q1", "q2")]
+    assert rows(names.same_entities(df)) == want
+    monkeypatch.setattr(names, "_MEMBERS", 40, raising=False)
+    assert rows(names.same_entities(df)) == want
+
+
 # Problem 4
 
 
