@@ -6,7 +6,8 @@ Entities that share a name, or have aligned ones, are linked, and linked entitie
 
 Distinct names are indexed, not rows, so a name that many entities carry is one entry. A deletion that more than
 ``bucket`` names share (a first name, a word like "services") makes no pairs by itself: only together with another such
-deletion of another token, and for longer names with a third token's. What is large even then is compared in blocks.
+deletion of another token (for longer names with a third token's), with the first letters of an organisation's other words,
+or with a person's other name of three letters up to one edit. What is large even then is compared in blocks.
 
 A name with an initial in place of a first name stands for whoever it fits, so it links nothing to each other: an entity
 known by such names only is joined to the one group of entities whose full names fit, if there is exactly one.
@@ -321,6 +322,19 @@ def aligned_names(names: DataFrame, bucket: int = BUCKET) -> DataFrame:
         few = two.groupBy("key").agg(F.countDistinct("name").alias("n")).where("n > 1")
         two = written(two.join(few, "key"), "twos")
         pairs = pairs.unionByName(_pairs_within(two.where(F.col("n") <= bucket).select("key", "kind", "name").distinct(), "key"))
+        # A pair that shares one frequent word only: an organisation's other words are then short forms, which keep the first
+        # letter, so the words agree in number and first letters; of a person's, one is of three letters and carries an edit.
+        tokens = F.filter(F.split("name", " "), lambda t, i: (i != F.col("place")) & ~t.startswith("="))
+        initials = F.array_join(F.array_sort(F.transform(tokens, lambda t: F.substring(t, 1, 1))), "")
+        letters = hot.where(F.col("kind") == ORGANIZATION).select(F.concat_ws("|#", "v", initials).alias("key"), "kind", "name")
+        brief = hot.where(F.col("kind") == PERSON).select("v", "kind", "name", F.explode(F.filter(tokens, lambda t: F.length(t).between(EDITABLE, INDEXED))).alias("t"))
+        edited = brief.select("v", "kind", "name", "t", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("k"))
+        rest = F.when(F.col("k") == 0, F.col("t")).otherwise(F.concat(F.expr("substring(t, 1, k - 1)"), F.expr("substring(t, k + 1)")))
+        one = letters.unionByName(edited.select(F.concat_ws("|-", "v", rest).alias("key"), "kind", "name")).distinct()
+        alike = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        one = written(one.join(alike, "key"), "ones")
+        pairs = pairs.unionByName(_pairs_within(one.where(F.col("n") <= bucket), "key"))
+        each = one.where(F.col("n") > bucket).select("key", "kind", "name")
         large = two.where(F.col("n") > bucket)
         if not large.isEmpty():
             # Persons, and organisations of two words, that share both words: compared block by block. Other organisations
@@ -332,12 +346,12 @@ def aligned_names(names: DataFrame, bucket: int = BUCKET) -> DataFrame:
             third = more.join(hot.select(F.col("v").alias("x"), F.col("place").alias("r"), "kind", "name"), ["kind", "name"]).where("r <> place and r <> q").select(F.concat_ws("|", "key", "x").alias("key"), "kind", "name")
             letter = more.select("key", "place", "q", "kind", "name", F.posexplode(F.split("name", " ")).alias("r", "t")).where("r <> place and r <> q and not startswith(t, '=')")
             letter = letter.select(F.concat_ws("|@", "key", F.substring("t", 1, 1)).alias("key"), "kind", "name")
-            each = plain.unionByName(third).unionByName(letter).distinct()
-            count = each.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-            each = each.join(count, "key").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-            other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
-            each = each.withColumn("p", other).select("key", "kind", "name", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.when(F.col("p.x") == F.col("p.y"), 0).when(F.col("block") == F.col("p.x"), 1).otherwise(2).alias("side"))
-            blocks = each.groupBy("key", "x", "y").applyInArrow(_block_aligned, "kind string, a string, b string, fit int")
+            each = each.unionByName(plain).unionByName(third).unionByName(letter).distinct()
+        count = each.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+        each = each.join(count, "key").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+        other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
+        each = each.withColumn("p", other).select("key", "kind", "name", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.when(F.col("p.x") == F.col("p.y"), 0).when(F.col("block") == F.col("p.x"), 1).otherwise(2).alias("side"))
+        blocks = each.groupBy("key", "x", "y").applyInArrow(_block_aligned, "kind string, a string, b string, fit int")
     out = pairs.distinct().mapInArrow(_aligned, "kind string, a string, b string, fit int").where("fit > 0")
     return out.unionByName(blocks).distinct() if blocks is not None else out
 
