@@ -1,8 +1,8 @@
 """A knowledge graph as three tables: entities, relationships and evidence.
 
 Relationships are ``relationship_id, subject_entity_id, predicate, object_entity_id, confidence, evidence_ids, seq``.
-Walks from one entity are bounded by their limits, so their frontier is a short list that is pushed into the scan of the
-relationships; walks from many entities are joins, one a step, with the visited pairs written in between.
+The neighbourhood of one entity is bounded by its limits, so its frontier is a short list that is pushed into the scan of
+the relationships; paths, and walks from many entities, are joins, one a step, with what was visited written in between.
 """
 
 from __future__ import annotations
@@ -81,37 +81,35 @@ def neighbors(entities: DataFrame, relationships: DataFrame, start: str, depth:
     return Neighborhood(list(found), list(edges), found)
 
 
-def find_paths(entities: DataFrame, relationships: DataFrame, start: str, end: str, depth: int = PATH_DEPTH, predicates: Sequence[str] | None = None, most: int = MAX_PATHS, width: int = 10_000) -> list[tuple[list[str], list[str]]]:
+def find_paths(entities: DataFrame, relationships: DataFrame, start: str, end: str, depth: int = PATH_DEPTH, predicates: Sequence[str] | None = None, most: int = MAX_PATHS) -> list[tuple[list[str], list[str]]]:
     """Up to ``most`` outbound paths as (nodes, edges) of a breadth-first tree: a node is entered once, every edge that
-    reaches the end makes a path. ``width`` bounds the nodes of a level, beyond which the search is refused."""
+    reaches the end makes a path. A level is a written table, so it may have any number of nodes; its nodes carry the path
+    to them, and the order of paths is the order in which a queue would find them."""
     known = {r[0] for r in entities.where(F.col("entity_id").isin([start, end])).select("entity_id").collect()}
     if not {start, end} <= known:
         return []
     if start == end:
         return [([start], [])]
     seen_from = ends(relationships, OUT, predicates)
-    paths, seen, level = [], {start}, {start: ([start], [])}
-    for _ in range(min(depth, DEEPEST)):
-        rows = seen_from.where(F.col("node").isin(list(level))).select("node", "other", "relationship_id", "seq")
-        hits = rows.where(F.col("other") == end).orderBy("seq").limit(most * len(level)).collect()
-        first = rows.where(F.col("other") != end).groupBy("other").agg(F.min(F.struct("seq", "node", "relationship_id")).alias("first")).limit(width + 1).collect()
-        if len(first) > width:
-            raise ValueError(f"more than {width} nodes in one step")
-        order = {n: i for i, n in enumerate(level)}
-        for r in sorted(hits, key=lambda r: (order[r["node"]], r["seq"])):
-            nodes, edges = level[r["node"]]
-            paths.append(([*nodes, end], [*edges, r["relationship_id"]]))
-            if len(paths) == most:
-                return paths
-        following = {}
-        for r in sorted(first, key=lambda r: (order[r["first"]["node"]], r["first"]["seq"])):
-            if r["other"] not in seen:
-                seen.add(r["other"])
-                nodes, edges = level[r["first"]["node"]]
-                following[r["other"]] = ([*nodes, r["other"]], [*edges, r["first"]["relationship_id"]])
-        level = following
-        if not level:
+    step = F.struct("seq", "relationship_id", F.col("other").alias("node"))
+    none = F.array().cast("array<struct<seq:bigint,relationship_id:string,node:string>>")
+    seen = written(entities.where(F.col("entity_id") == start).select(F.col("entity_id").alias("node")).distinct().select("node", F.lit(0).alias("depth"), none.alias("path")), "paths")
+    paths = []
+    deepest = min(depth, DEEPEST)
+    for level in range(1, deepest + 1):
+        steps = seen.where(F.col("depth") == level - 1).join(seen_from, "node").select("other", F.concat("path", F.array(step)).alias("path"))
+        for r in steps.where(F.col("other") == end).orderBy("path").limit(most - len(paths)).collect():
+            paths.append(([start, *(x["node"] for x in r["path"])], [x["relationship_id"] for x in r["path"]]))
+        if len(paths) == most or level == deepest:
             break
+        new = steps.where(F.col("other") != end).groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path"))
+        new = new.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "path")
+        grown = written(seen.unionByName(new), "paths")
+        remove(seen)
+        seen = grown
+        if seen.where(F.col("depth") == level).isEmpty():
+            break
+    remove(seen)
     return paths
 
 

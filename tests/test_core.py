@@ -430,3 +430,17 @@ def test_text_security_reads_whole_texts(spark, tmp_path):
     assert dict(rows(L.redact_secrets(spark, str(tmp_path)))) == {i: masked(x) for i, x in whole.items()}
     assert rows(L.injection_sanitize(spark, str(tmp_path))) == sorted((i, clean(x), i == 13) for i, x in whole.items())
     assert dict(rows(L.exfil_scan(spark, str(tmp_path)))) == {i: i == 8 for i in whole}
+
+
+def test_paths_of_wide_levels_equal_a_queue(spark):
+    n = 10_050  # more than a level could have before
+    edges = [("S", f"n{i:05}") for i in range(n)] + [(f"n{n - 1:05}", "E")] * 12 + [("n00000", "E"), ("n00007", "E"), ("S", "E")]
+    # The last node's edges to the end arrive before those of earlier nodes.
+    rel = spark.createDataFrame([(f"r{i}", a, "USES", b, i) for i, (a, b) in enumerate(edges)], "relationship_id string, subject_entity_id string, predicate string, object_entity_id string, seq bigint")
+    ent = spark.createDataFrame([("S",), ("E",)], "entity_id string")
+    got = graph.find_paths(ent, rel, "S", "E", 2)
+    assert got[:3] == [(["S", "E"], [f"r{n + 14}"]), (["S", "n00000", "E"], ["r0", f"r{n + 12}"]), (["S", "n00007", "E"], ["r7", f"r{n + 13}"])]
+    assert got[3:] == [(["S", f"n{n - 1:05}", "E"], [f"r{n - 1}", f"r{n + k}"]) for k in range(2)]
+    # A node that two of a level reach is entered from the first of them, not by the edge that arrived first.
+    small = spark.createDataFrame([("1", "S", "USES", "a", 1), ("2", "S", "USES", "b", 2), ("3", "b", "USES", "c", 3), ("4", "a", "USES", "c", 4), ("5", "c", "USES", "E", 5)], "relationship_id string, subject_entity_id string, predicate string, object_entity_id string, seq bigint")
+    assert graph.find_paths(ent, small, "S", "E") == [(["S", "a", "c", "E"], ["1", "4", "5"])]
