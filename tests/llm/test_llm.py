@@ -236,6 +236,30 @@ def test_pack_is_optimal():
         assert len(bins) == best_number(s.tolist(), 100)
 
 
+def test_pack_meets_the_bound_or_exhausts_the_branches():
+    rng = np.random.default_rng(5)
+    for _ in range(60):  # large sizes leave no slack, so best fit often needs more
+        s = rng.integers(20, 60, rng.integers(8, 13))
+        assert len(packing.pack(s, 100, None)) == best_number(s.tolist(), 100)
+    s = rng.lognormal(5.6, 1.0, 4000).astype(int).clip(1, 2047)
+    bins = packing.pack(s, 2048)
+    assert sorted(x for b in bins for x in b) == sorted(s.tolist()) and max(map(sum, bins)) <= 2048
+    assert len(bins) == packing.least_contexts(s, 2048) <= len(packing._best_fit(s, 2048))
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        s = rng.integers(1, 30, 7)
+        got = list(packing.fillings(packing._Left(s, 60), 40))
+        sets = {tuple(sorted((int(s[i]) for i in range(7) if m >> i & 1), reverse=True)) for m in range(128)}
+        fit = [f for f in sets if sum(f) <= 40]
+        count = np.bincount(s, minlength=61).tolist()
+        sizes = sorted(set(s.tolist()))
+        want = [f for f in fit if not packing._dominated(f, 40 - sum(f), [x for x in sizes if x <= 40], count)]
+        assert sorted(got) == sorted(want) and len(set(got)) == len(got) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_count_tokens():
     text = "A store, and 3 caches — größer! " * 5000 + "x" * 30_000
     assert packing.count_tokens(text) == len(packing.tokenizer().encode_ordinary(text))
@@ -251,6 +275,8 @@ def test_packed(spark):
         pieces = sorted((r["piece"], r["start_token"], r["tokens"]) for r in got if r["doc_id"] == 200)
         assert [p[1] for p in pieces] == [i * packing.CAPACITY for i in range(len(pieces))] and sum(p[2] for p in pieces) == packing.count_tokens("long text " * 3000)
         assert sum(r["doc_id"] == 5 for r in got) == 2
+    search = packing.packing_search(docs, block=40).collect()
+    assert len(search) > 1 and all(r["least"] <= r["contexts"] <= r["best_fit"] for r in search) and sum(r["pieces"] for r in search) == len(got)
     report = packing.packing_report(packing.packed(docs)).first()
     assert report["contexts"] <= report["least_contexts"] + 1
     assert packing.packed(docs.limit(0)).count() == 0 and packing.packing_report(packing.packed(docs.limit(0))).first()["contexts"] == 0
