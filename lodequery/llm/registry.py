@@ -11,7 +11,7 @@ from lodequery.llm.neardup import NearDuplicates, near_pairs
 from lodequery.llm.packing import packed, packing_report
 from lodequery.llm.reading import reading_levels
 from lodequery.llm.similar import similar_pairs
-from lodequery.llm.split import contents, oversized, pieces
+from lodequery.llm.split import LIMIT, OVERLAP, contents, oversized, pieces
 from lodequery.sources.tables import table
 
 _CURRENT = """cur as (select * from vector_records where id is not null
@@ -24,6 +24,13 @@ content as (
   from cur left join raw_contents using (content_ref))
 select id, case when regexp_matches(content, '[^ \\t\\r\\n]{{501}}') then 'forced' else 'natural' end as kind
 from content where length(content) > 500""",
+    "p4_rebuilt": f"""with {_CURRENT},
+content as (
+  select id, trim(case when trim(coalesce(text, ''), E' \\t\\r\\n') <> '' then text else body end, E' \\t\\r\\n') as content
+  from cur left join raw_contents using (content_ref))
+select id, case when regexp_matches(content, '[^ \\t\\r\\n]{{501}}') then 'forced' else 'natural' end as kind,
+  length(content) as n_chars, md5(content) as digest, true as within, true as overlaps
+from content where length(content) > 0""",
     "p5_found": f"""with {_CURRENT},
 w as (select id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from cur where text is not null),
 g as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w where len(w) >= 25),
@@ -65,6 +72,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(contents(table(spark, sf_dir, "vector_records"), table(spark, sf_dir, "raw_contents")))
 
 
+def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each content put together again from its pieces, whether all are within the limit, and whether they overlap by 50
+    characters (fewer only before a stretch of more than 450 characters without white space)."""
+    each = p4_pieces(spark, sf_dir).groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("p"))  # one text's pieces
+    shared = F.transform("p", lambda x, i: F.when(i == 0, 0).otherwise(F.get("p", i - 1)["end"] - x["start"]))
+    whole = F.array_join(F.transform(F.arrays_zip("p", shared.alias("shared")), lambda x: F.substring(x["p"]["text"], x["shared"] + 1, F.lit(LIMIT))), "")
+    fits = F.forall("p", lambda x: (F.length(x["text"]) <= LIMIT) & (F.length(x["text"]) == x["end"] - x["start"]))
+    long = f"[^ \\t\\r\\n]{{{LIMIT - OVERLAP + 1}}}"
+    meet = F.forall(F.arrays_zip("p", shared.alias("shared")), lambda x: (x["p"]["piece"] == 0) | (x["shared"] == OVERLAP) | x["shared"].between(0, OVERLAP) & x["p"]["text"].rlike(long))
+    return each.select("id", "kind", F.length(whole).cast("bigint").alias("n_chars"), F.md5(whole).alias("digest"), fits.alias("within"), meet.alias("overlaps"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -83,7 +102,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.join(docs, "doc_id").groupBy("lang", "level").agg(F.count("*").alias("documents"), F.round(F.avg("median_grade"), 4).alias("mean_grade"))
 
 
-QUERIES = (p1_found, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_report, p7_found, p8_found, p8_profile)
+QUERIES = (p1_found, p2_found, p2_groups, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_groups, p6_packed, p6_report, p7_found, p8_found, p8_profile)
 
 
 def queries() -> dict:

@@ -2,12 +2,14 @@
 
 Method: balanced targets. The least number of pieces is computed, targets of equal length are placed, each is snapped to
 the strongest boundary near it, and when a piece would pass the limit the number of pieces is raised by one and all is
-placed anew. Only where a stretch without white space is longer than the limit, a piece is cut inside it.
+placed anew. Only where a stretch without white space is longer than the limit, a piece is cut inside it; the texts before
+and after it are balanced all the same.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +20,7 @@ from lodequery.operators.versions import current_version
 
 #: Characters (code points) in a piece at most, and shared by two pieces that follow each other.
 LIMIT, OVERLAP = 500, 50
-#: Further pieces tried before a cut is forced, as a share of the least number.
+#: Further pieces tried before the fewest pieces are sought by dynamic programming, as a share of the least number.
 MORE = 1.0
 WHITE = " \t\r\n"
 
@@ -34,88 +36,132 @@ _RUN = re.compile(r"[^ \t\r\n]+")
 NATURAL, FORCED = "natural", "forced"
 
 
-def _snap(text: str, low: int, target: int, high: int) -> tuple[int, str] | None:
-    """The cut in low..high after the strongest boundary near the target: each weaker kind must lie nearer."""
-    width = max(target - low, high - target, 1)
-    best = None
-    for rank, (name, pattern) in enumerate(BOUNDARIES):
-        reach = max(width * (5 - rank) // 5, 1) if rank < 4 else width
-        a, z = max(low, target - reach), min(high, target + reach)
-        if a > z:
-            continue
-        near = None
-        # White space before the window may belong to a boundary that ends in it.
-        for m in pattern.finditer(text, max(a - 40, 0), min(z + 1, len(text))):
-            e = m.end()
-            if a <= e <= z and (near is None or abs(e - target) < abs(near - target)):
-                near = e
-        if near is not None:
-            best = near, name
-            break
-    return best
-
-
-def _place(text: str, pieces: int, limit: int, overlap: int, low_share: float = 0.5) -> list[tuple[int, int, str]] | None:
+class _Boundaries:
+    """Where each kind of boundary of a text ends, the strongest kind first."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = [(name, [m.end() for m in pattern.finditer(text)]) for name, pattern in BOUNDARIES]
+
+    def snap(self, low: int, target: int, high: int) -> tuple[int, str] | None:
+        """The cut in low..high after the strongest boundary near the target: each weaker kind must lie nearer."""
+        width = max(target - low, high - target, 1)
+        for rank, (name, ends) in enumerate(self.ends):
+            reach = max(width * (5 - rank) // 5, 1) if rank < 4 else width
+            a, z = bisect_left(ends, max(low, target - reach)), bisect_right(ends, min(high, target + reach))
+            if a < z:
+                at = bisect_left(ends, target, a, z)
+                near = [e for e in ends[max(a, at - 1) : min(z, at + 1)]]
+                return min(near, key=lambda e: (abs(e - target), e)), name
+        return None
+
+    def fewest(self, begin: int, end: int, limit: int, overlap: int) -> list[tuple[int, int, str]] | None:
+        """The fewest pieces that end in or beside white space, of equal numbers those of the least sum of squared lengths."""
+        spaces = (range(m.start(), m.end(), max(overlap // 2, 1)) for m in BOUNDARIES[-1][1].finditer(self.text, begin, end))
+        words = self.ends[-1][1]
+        cuts = sorted({c for r in spaces for c in r if c > begin} | {*words[bisect_right(words, begin) : bisect_left(words, end)], end})
+        best: list[tuple[int, int, int] | None] = []  # pieces, squares, the cut before
+        for i, c in enumerate(cuts):
+            found = (1, (c - begin) ** 2, -1) if c - begin <= limit else None
+            for j in range(bisect_left(cuts, c - limit + overlap, 0, i), i):
+                if best[j] is not None and cuts[j] - overlap > begin:
+                    new = (best[j][0] + 1, best[j][1] + (c - cuts[j] + overlap) ** 2, j)
+                    if found is None or new < found:
+                        found = new
+            best.append(found)
+        if best[-1] is None:
+            return None
+        chain, at = [], len(cuts) - 1
+        while at >= 0:
+            chain.append(at)
+            at = best[at][2]
+        ends = [cuts[i] for i in reversed(chain)]
+        kind = lambda e: next((name for name, known in self.ends if (k := bisect_left(known, e)) < len(known) and known[k] == e), "word")
+        starts = [begin, *(e - overlap for e in ends[:-1])]
+        return [(a, z, "end" if z == end else kind(z)) for a, z in zip(starts, ends)]
+
+
+def _place(found: _Boundaries, begin: int, end: int, pieces: int, limit: int, overlap: int, low_share: float = 0.5) -> list[tuple[int, int, str]] | None:
     """``start, end, boundary`` of so many pieces, or None where a target finds no boundary that keeps the limit."""
-    n = len(text)
+    n = end - begin
     step = (n + (pieces - 1) * overlap) / pieces - overlap
-    out, start = [], 0
+    out, start = [], begin
     for i in range(1, pieces):
-        target = round(i * step) + overlap
-        low = max(start + overlap + 1, n - (pieces - i) * (limit - overlap), round(target - step * low_share))
-        high = min(start + limit, round(target + step * low_share), n - 1)
+        target = begin + round(i * step) + overlap
+        low = max(start + overlap + 1, end - (pieces - i) * (limit - overlap), round(target - step * low_share))
+        high = min(start + limit, round(target + step * low_share), end - 1)
         if low > high:
             return None
-        cut = _snap(text, low, min(max(target, low), high), high)
+        cut = found.snap(low, min(max(target, low), high), high)
         if cut is None:
             return None
         out.append((start, *cut))
         start = cut[0] - overlap
-    return [*out, (start, n, "end")] if n - start <= limit else None
-
-
-def _forced(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """Cuts one after the other. A stretch without white space that fits into a piece of its own is kept whole at the
-    price of a shorter overlap; a longer one is cut where the limit asks."""
-    n, out, start = len(text), [], 0
-    done = 0  # end of the last piece
-    while n - start > limit:
-        low, high = max(done, start + overlap) + 1, start + limit
-        left = n - start
-        pieces = -(-(left - overlap) // (limit - overlap))
-        target = min(high, start + round((left + (pieces - 1) * overlap) / pieces))
-        cut = _snap(text, low, max(target, low), high)
-        if cut is None:  # one stretch covers low..high
-            begin = max(text.rfind(c, 0, low) for c in WHITE) + 1
-            end = _RUN.match(text, begin).end()
-            if end - begin <= limit and begin >= done:
-                if end - limit > done:
-                    cut = begin, "word"
-                else:
-                    start = max(start, end - limit)
-                    if end == n:
-                        break
-                    cut = end, "word"
-            else:
-                cut = (target if target > done else high), FORCED
-        out.append((start, *cut))
-        done = cut[0]
-        start = max(done - overlap, start + 1)
-    return [*out, (start, n, "end")]
+    return [*out, (start, end, "end")] if end - start <= limit else None
+
+
+def _balanced(found: _Boundaries, begin: int, end: int, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """A part whose stretches without white space all are shorter than ``limit - overlap``."""
+    least = max(1, -(-(end - begin - overlap) // (limit - overlap)))
+    for pieces in range(least, least + 2 + int(MORE * least)):
+        if (out := _place(found, begin, end, pieces, limit, overlap)) is not None:
+            return out
+    return found.fewest(begin, end, limit, overlap) or _cut_through(found, begin, end, limit, overlap)
+
+
+def _cut_through(found: _Boundaries, begin: int, end: int, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """A part with a stretch longer than the limit: equal targets; a cut is forced where no boundary is near one."""
+    n = end - begin
+    pieces = max(1, -(-(n - overlap) // (limit - overlap)))
+    out, start = [], begin
+    for i in range(1, pieces):
+        target = begin + round((n - overlap) * i / pieces) + overlap
+        low, high = max(start + overlap + 1, end - (pieces - i) * (limit - overlap)), min(start + limit, end - 1)
+        reach = (limit - overlap) // 4
+        cut = found.snap(max(low, target - reach), min(max(target, low), high), min(high, target + reach)) if target - reach <= high and target + reach >= low else None
+        out.append((start, *(cut or (min(max(target, low), high), FORCED))))
+        start = out[-1][1] - overlap
+    return [*out, (start, end, "end")]
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """``start, end, boundary`` of the pieces of a text without white space at its ends; "end" ends the last piece."""
+    """``start, end, boundary`` of the pieces of a text without white space at its ends; "end" ends the last piece.
+
+    Only what surrounds a long stretch without white space is cut otherwise than the rest: the texts between such
+    stretches are balanced each by itself. A stretch of up to ``limit`` characters is one piece, whose overlap with the
+    piece before is shorter if it must be; a longer one is cut in equal parts, a short text beside it joining them.
+    """
     n = len(text)
     if n <= limit:
         return [(0, n, "end")] if n else []
-    least = -(-(n - overlap) // (limit - overlap))
-    longest = max(len(m) for m in _RUN.findall(text))
-    if longest <= limit - overlap:
-        for pieces in range(least, least + 2 + int(MORE * least)):
-            if (out := _place(text, pieces, limit, overlap)) is not None:
-                return out
-    return _forced(text, limit, overlap)
+    found = _Boundaries(text)
+    parts: list[list] = []  # begin, end, longest stretch
+    last = 0
+    for m in _RUN.finditer(text):
+        a, z = m.span()
+        if z - a > limit - overlap:
+            if a > last:
+                parts.append([last, a, 0])
+            z = next((e for e in found.ends[-1][1][bisect_left(found.ends[-1][1], z) :][:1]), n) if z - a > limit else z
+            parts.append([a, z, z - a if z - a > limit else m.end() - a])
+            last = z
+    if last < n:
+        parts.append([last, n, 0])
+    joined: list[list] = []
+    for part in parts:  # short texts beside a stretch that is cut anyway
+        before = joined[-1] if joined else None
+        if before and (before[2] > limit and not part[2] and part[1] - part[0] < limit // 2 or part[2] > limit and not before[2] and before[1] - before[0] < limit // 2 or part[2] > limit and before[2] > limit):
+            before[1], before[2] = part[1], max(part[2], before[2])
+        else:
+            joined.append(list(part))
+    out: list[tuple[int, int, str]] = []
+    for begin, end, longest in joined:
+        start = max(begin - overlap, 0)
+        if limit - overlap < longest <= limit and end - start > limit:
+            start = max(start, end - limit)
+        piece = _cut_through(found, start, end, limit, overlap) if longest > limit else [(start, end, "end")] if end - start <= limit else _balanced(found, start, end, limit, overlap)
+        out += [*piece[:-1], (*piece[-1][:2], "end" if end == n else "word")]
+    return out
 
 
 def kind_of(text: str, limit: int = LIMIT) -> str:

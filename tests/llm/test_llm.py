@@ -152,6 +152,27 @@ def test_split_round_trip():
     assert all(b[0] == a[1] - 50 for a, b in zip(parts, parts[1:]))
 
 
+def test_long_stretches_leave_the_rest_balanced():
+    prose = "lorem ipsum dolor sit. " * 200
+    alone = [z - a for a, z, _ in split.split(prose.strip())]
+    for stretch in ("b" * 460, "b" * 900):
+        parts = split.split(f"{prose}{stretch} {prose}".strip())
+        lengths = [z - a for a, z, _ in parts]
+        assert min(lengths) >= min(350, min(alone)) and max(lengths) <= 500
+        assert sum(k == "forced" for *_, k in parts) == (2 if len(stretch) > 500 else 0)
+    assert [z - a for a, z, _ in split.split("ab " + "b" * 900 + " c")] == [478, 477]
+    random.seed(3)
+    for _ in range(500):
+        x = " ".join("a" * random.choice([1, 9, 50, 300, 440, 450]) for _ in range(random.randint(1, 40)))
+        parts = split.split(x)
+        assert all(b[0] == a[1] - 50 for a, b in zip(parts, parts[1:])) and all(k != "forced" for *_, k in parts)
+
+
+def test_boundaries_after_much_white_space():
+    text = "x" * 300 + ".\n" + " " * 90 + "\n" + "y " * 300
+    assert split.split(text)[0][2] == "paragraph"
+
+
 def test_oversized(spark):
     made = [("a", None, None, "x " * 400, None), ("b", None, None, " \n", "ref"), ("c", None, None, None, "gone"), ("d", None, None, "y" * 501, None), ("e", None, None, "z" * 500 + "  ", None), ("f", None, None, None, None), ("g", None, None, "", "blank")]
     df = records(spark, made + made[:1])
