@@ -21,8 +21,8 @@ from lodequery.llm.wordhash import buffers
 
 LEVELS = 4
 LEAST_WORDS = 50
-#: Labelled documents and known words that a model is fitted on at most; labelled documents a known word stands in.
-MOST_LABELLED, MOST_WORDS, KNOWN_IN = 20_000, 100_000, 3
+#: Labelled documents that a model is fitted on at most, which also bounds its words; labelled documents a known word stands in.
+MOST_LABELLED, KNOWN_IN = 20_000, 3
 FOLDS = 4
 QUANTILES = tuple(round(0.05 * i, 2) for i in range(1, 20))
 _PRIOR = 1.0  # texts without a grade added to each word's
@@ -135,15 +135,15 @@ def _folded_features(words: np.ndarray, grades: list[np.ndarray]):
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_words: int = MOST_WORDS) -> ReadingModel | None:
-    """The model of up to ``most_labelled`` labelled documents (those of the smallest hashed ids) and the ``most_words`` words that most of them use; None without any."""
+def fit(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> ReadingModel | None:
+    """The model of up to ``most_labelled`` labelled documents (those of the smallest hashed ids) and all words that at least KNOWN_IN of them use; None without any."""
     sample = consensus(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     held = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # most_labelled rows of 12 bytes
     held = held.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")).select("level", "fold", "text")
     counted = held.mapInArrow(_counted, "word bigint, cell int, n bigint")
     cells = [F.sum(F.when(F.col("cell") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(FOLDS * LEVELS)]
     known = counted.groupBy("word").agg(F.sum("n").alias("known"), *cells).where(F.col("known") >= KNOWN_IN)
-    table = known.orderBy(F.col("known").desc(), "word").limit(most_words).toArrow()
+    table = known.toArrow()  # words of at most most_labelled documents
     words = table.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     words = words[order]
@@ -178,7 +178,7 @@ def _apply(model: ReadingModel):
     return run
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_words: int = MOST_WORDS) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """``doc_id, level, median_grade`` of every document of at least 50 words: level 1 (beginners) to 4 (specialists) on
     the raters' scale, and the median acquisition grade of its known words.
 
@@ -189,7 +189,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most_labelled: int =
     """
     doc_type = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, level int, median_grade double"
-    model = fit(documents, labels, most_labelled, most_words)
+    model = fit(documents, labels, most_labelled)
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
     return documents.select("doc_id", "text").where("text is not null").mapInArrow(_apply(model), schema)

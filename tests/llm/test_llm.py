@@ -218,6 +218,14 @@ def test_near_duplicates(spark, options):
     assert neardup.near_pairs(df.limit(0)).count() == 0
 
 
+def test_only_exact_copies_are_starred(spark):
+    text = " ".join(WORDS[:40])
+    made = [(f"a{i}", None, None, text, None) for i in range(5)] + [(f"b{i}", None, None, text.upper(), None) for i in range(2)] + [("c", None, None, text.replace(" ", ", "), None)]
+    got = rows(neardup.NearDuplicates(records(spark, made)).pairs(expand=3))
+    star = [("a0", f"a{i}") for i in range(1, 5)]
+    assert got == sorted(star + [("a0", x) for x in ("b0", "b1", "c")] + [("b0", "b1"), ("b0", "c"), ("b1", "c")])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100), (7, 3), (200, 201), (None, 5)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint").where("a is not null")).collect()}
