@@ -132,6 +132,71 @@ def test_pairs_of_one_frequent_word_equal_brute_force(spark):
     assert rows(names.aligned_names(df)) == rows(names.aligned_names(df, bucket=1)) == rows(names.aligned_names(df, bucket=2)) == want
 
 
+def test_long_names_are_assigned_exactly():
+    rng = random.Random(7)
+    for _ in range(200):
+        n, m = rng.randint(1, 5), rng.randint(5, 6)
+        table = [[rng.choice([None, None, 0.0, 0.1, 0.3, 0.4]) for _ in range(m)] for _ in range(n)]
+        x, y = names._by_subsets(table), names._by_paths(table)
+        assert len(x) == len(y) and abs(sum(c for *_, c in x) - sum(c for *_, c in y)) < 1e-9
+        assert len({i for i, *_ in y}) == len({j for _, j, _ in y}) == len(y) and all(table[i][j] == c for i, j, c in y)
+    long = tuple(f"word{i}x" for i in range(40))
+    assert names.match_organizations(long, tuple(sorted(long[:-1] + ("wordx39x",)))) == names.SAME_ENTITY
+
+
+def brute_names(parsed):
+    match = {names.ORGANIZATION: names.match_organizations, names.PERSON: names.match_persons}
+    out = []
+    for k, l in parsed.items():
+        for a, full_a in l:
+            for b, full_b in l:
+                fit = match[k](tuple(a.split(" ")), tuple(b.split(" "))) if a < b else 0
+                if fit == names.SAME_ENTITY or fit and full_a != full_b:
+                    out.append((k, a, b, fit))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refined_keys_lose_no_pair(spark, seed):
+    rng = random.Random(seed)
+
+    def typed(word):
+        i = rng.randrange(len(word))
+        return rng.choice([word, word, word, word[:i] + word[i + 1 :], word[:i] + rng.choice("abe") + word[i:], word[:i] + rng.choice("ab") + word[i + 1 :], word[1:2] + word[:1] + word[2:], word[:3], word[0] + word[2::2] if len(word) > 5 else word])
+
+    given, family, middle = ["robert", "bob", "jon", "jan", "ann", "william", "liam"], ["martinez", "martin", "lee", "garcia"], ["", "", "x", "jose", "j", "maria"]
+    people = {" ".join(t for t in (rng.choice([typed(rng.choice(given)), rng.choice("rjw")]), typed(rng.choice(middle) or "o") if rng.random() < 0.4 else "", typed(rng.choice(family))) if t) for _ in range(420)}
+    first, words = ["miltamorek", "zinkaneros", "tamo", "international"], ["services", "data", "machines", "tech", "technologies"]
+    firms = {" ".join(sorted([typed(rng.choice(first)), *(typed(w) for w in rng.sample(words, rng.choice([1, 1, 2, 3]))), *(["=inc"] if rng.random() < 0.2 else [])])) for _ in range(420)}
+    state = lambda k, x: "full" if names.is_full(k, tuple(x.split(" "))) else "initial"
+    parsed = {names.PERSON: [(x, state(names.PERSON, x)) for x in people], names.ORGANIZATION: [(x, "full") for x in firms]}
+    want = brute_names(parsed)
+    df = spark.createDataFrame([(k, x, s) for k, l in parsed.items() for x, s in l], "kind string, name string, state string")
+    assert len(want) > 300
+    for bucket in (1, 4, 1000):
+        assert rows(names.aligned_names(df, bucket=bucket)) == want
+
+
+@pytest.mark.parametrize("many, buckets", [(130, (10, 100, 1000)), (10_000, (32,))])
+def test_pairs_in_a_crowd(spark, many, buckets):
+    rng = random.Random(3)
+    made = {"".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(2 * many)}
+    made = sorted(made)[: 2 * many]
+    crowd = [(f"a{i:05}", f"{w} machines", "ORGANIZATION") for i, w in enumerate(made[::2])] + [(f"b{i:05}", f"{w} martinez", "PERSON") for i, w in enumerate(made[1::2])]
+    asked = [("x1", "intl machines", "ORGANIZATION"), ("x2", "international machines", "ORGANIZATION"), ("y1", "jon martinez", "PERSON"), ("y2", "jan martinez", "PERSON")]
+    df = spark.createDataFrame([(i, n, k, None, T0, 0, "k", "n", 0) for i, n, k in crowd + asked], ENT)
+    for bucket in buckets:
+        got = {p for p in rows(names.same_entities(df, bucket=bucket)) if p[0][0] in "xy"}
+        assert got == {("x1", "x2"), ("y1", "y2")}
+
+
+def test_lexicon(spark):
+    own = names.Lexicon(nicknames="Zebulon: Zeb Lonny; Ann: Nan", legal="foo fooly; bar")
+    df = spark.createDataFrame([(i, n, k, None, T0, 0, "k", "n", 0) for i, n, k in [("a", "Lonny Girgelavos", "PERSON"), ("b", "Zeb Girgelavos", "PERSON"), ("c", "Velrilacia Replay Fooly", "ORGANIZATION"), ("d", "Velrilacia Replay Foo", "ORGANIZATION"), ("e", "Velrilacia Replay Bar", "ORGANIZATION")]], ENT)
+    assert rows(names.same_entities(df, lexicon=own)) == [("a", "b"), ("c", "d")]
+    assert rows(names.same_entities(df)) == [("c", "d")]  # by default no legal forms, but "foo" begins "fooly"
+
+
 # Problem 4
 
 
