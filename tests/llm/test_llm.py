@@ -42,7 +42,7 @@ def brute_pairs(made, k=5):
     return out
 
 
-@pytest.mark.parametrize("options, least", [({}, 1.0), ({"shard_rows": 60, "probes": 4}, 0.9), ({"hot_copies": 20}, 1.0)])
+@pytest.mark.parametrize("options, least", [({}, 1.0), ({"shard_rows": 60}, 0.9), ({"shard_rows": 60, "margin": 2.0}, 1.0), ({"shard_rows": 10, "fanout": 4, "margin": 0.5}, 0.9), ({"shard_rows": 10, "fanout": 4, "margin": 2.0}, 1.0), ({"hot_copies": 20}, 1.0)])
 def test_similar(spark, options, least):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(12, 8))
