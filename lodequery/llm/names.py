@@ -598,15 +598,17 @@ def _block_aligned(lexicon: Lexicon):
 def aligned_names(names: DataFrame, bucket: int = BUCKET, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """``kind, a, b, fit``: of distinct ``kind, name, state``, full names that align (SAME_ENTITY), and full names with those
     of state ``initial`` that stand for them (FITS). The result is the same for every ``bucket``."""
+    # Pairing costs time rather than bytes: tasks by number, which are not merged by size.
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = names.select("kind", "name", (F.col("state") == "initial").alias("short")).distinct()
     tokens = written(names.select("*", F.posexplode(F.split("name", " ")).alias("place", "token")).where("token <> '' and not startswith(token, '=') and (length(token) > 1 or kind <> 'PERSON')"), "tokens")
     known = tokens.groupBy("kind", "token").agg(F.count("*").alias("n"))
     keys = known.mapInArrow(_token_keys(lexicon), "v bigint, own boolean, kind string, token string, n bigint")
-    keys = keys.repartition("v").sortWithinPartitions("v").mapInArrow(_shared_keys(bucket, lexicon), "kind string, token string, v bigint, own boolean, hot boolean")
+    keys = keys.repartition(tasks, "v").sortWithinPartitions("v").mapInArrow(_shared_keys(bucket, lexicon), "kind string, token string, v bigint, own boolean, hot boolean")
     keys = written(keys.groupBy("kind", "token").agg(F.collect_list(F.struct("v", "own", "hot")).alias("keys")), "keys")  # one token's deletions
     keyed = tokens.join(keys, ["kind", "token"]).select("kind", "name", "short", F.explode(F.transform("keys", lambda k: F.struct("place", k["v"].alias("v"), k["own"].alias("own"), k["hot"].alias("hot")))).alias("x"))
     placed = keyed.groupBy("kind", "name", "short").agg(F.collect_list("x").alias("places"))  # one name's keys
-    rows = placed.mapInArrow(_name_keys, _PLACED_SQL).repartition("key").sortWithinPartitions("key")
+    rows = placed.mapInArrow(_name_keys, _PLACED_SQL).repartition(tasks, "key").sortWithinPartitions("key")
     found = written(rows.mapInArrow(_paired(LARGE * bucket, lexicon), f"{_FIT}, {_PLACED_SQL.replace('kind string, ', '')}"), "aligned")
     pairs = found.where("fit is not null").select("kind", "a", "b", "fit")
     large = found.where("fit is null").select(*_PLACED)
