@@ -23,7 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
-from itertools import chain, groupby, islice
+from itertools import chain, combinations, groupby, islice, product
 from operator import itemgetter
 
 import numpy as np
@@ -153,13 +153,27 @@ def organization_tokens(name: str, lexicon: Lexicon = DEFAULT) -> tuple[str, ...
     return (*core, f"={legal}") if legal else tuple(core)
 
 
-@lru_cache(1 << 16)
+def one_edit(a: str, b: str) -> bool:
+    """Whether one insertion, deletion, substitution or swap of neighbours turns a into b, or none."""
+    m, n = len(a), len(b)
+    if m > n:
+        return one_edit(b, a)
+    if n - m > 1:
+        return False
+    i = next((i for i in range(m) if a[i] != b[i]), m)
+    if n > m:
+        return a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i + 1 : i + 2] + b[i : i + 1] and a[i + 2 :] == b[i + 2 :]
+
+
 def edits(a: str, b: str, most: int = 1) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours that turn a into b, up to ``most``, else most + 1."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if most == 1:
+        return 1 if one_edit(a, b) else 2
     old, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, old, row = old, row, [i]
@@ -290,15 +304,23 @@ def match_persons(a: tuple[str, ...], b: tuple[str, ...], lexicon: Lexicon = DEF
     return FITS if len(full) == 1 and len(pairs) >= 2 else NO
 
 
+@lru_cache(1 << 16)
+def _without_legal(tokens: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    return tuple(x for x in tokens if x[0] != "="), tuple(x for x in tokens if x[0] == "=")
+
+
 def match_organizations(a: tuple[str, ...], b: tuple[str, ...], lexicon: Lexicon = DEFAULT) -> int:
     """SAME_ENTITY if all words agree and the legal forms, where both have one, are the same; else NO."""
-    legal_a, legal_b = ([x for x in t if x[0] == "="] for t in (a, b))
-    if legal_a and legal_b and legal_a != legal_b:
+    (a, legal_a), (b, legal_b) = _without_legal(a), _without_legal(b)
+    if len(a) != len(b) or len(a) < 2 or legal_a and legal_b and legal_a != legal_b:
         return NO
-    a, b = (tuple(x for x in t if x[0] != "=") for t in (a, b))
     cost = lexicon.cost
-    if len(a) != len(b) or len(a) < 2 or any(all(cost(ORGANIZATION, x, y) is None for y in b) for x in a):
-        return NO
+    for x in a:
+        for y in b:
+            if x == y or cost(ORGANIZATION, x, y) is not None:
+                break
+        else:
+            return NO
     pairs = assign(a, b, lambda x, y: cost(ORGANIZATION, x, y))
     if len(pairs) < len(a) or sum(c == EDIT for *_, c in pairs) > 2:
         return NO
@@ -487,7 +509,7 @@ def _may_pair(x: tuple, y: tuple, kind: str, made: str, lexicon: Lexicon) -> boo
     """Whether two rows of one key are to be compared by it: not if another key of theirs brings them together anyway (equal
     tokens have the token itself for a key), nor if the tokens that the key is made of don't go together.
 
-    Rows: name, tokens, p, q, own_p, own_q, role."""
+    Rows: name, tokens, p, q, own_p, own_q, role, and the words at other places."""
     if x[6] and x[6] == y[6] or x[0] == y[0]:
         return False
     a, b = x[1][x[2]], y[1][y[2]]
@@ -495,12 +517,30 @@ def _may_pair(x: tuple, y: tuple, kind: str, made: str, lexicon: Lexicon) -> boo
         return False
     if made in "dtps":
         a, b = x[1][x[3]], y[1][y[3]]
-        return (a != b or x[5] or made in "ps") and lexicon.cost(kind, a, b) is not None
+        if a == b and not x[5] and made not in "ps" or lexicon.cost(kind, a, b) is None:
+            return False
+    if kind == ORGANIZATION:  # all words must go together
+        return len(x[7]) == len(y[7]) and (len(x[7]) != 1 or lexicon.cost(kind, x[7][0], y[7][0]) is not None)
     return True
 
 
 def _brief(rows: list[tuple]) -> list[tuple]:
-    return [(r[2], tuple(r[2].split(" ")), *r[3:8]) for r in rows]
+    split = ((r, tuple(r[2].split(" "))) for r in rows)
+    return [(r[2], t, *r[3:8], tuple(w for i, w in enumerate(t) if i != r[3] and i != r[4] and w[0] != "=")) for r, t in split]
+
+
+def _in_pairs(rows: list[tuple], kind: str, lexicon: Lexicon) -> Iterator[tuple[tuple, tuple]]:
+    """Two rows of a key at a time, whose tokens at the key's place go together."""
+    by: dict[str, list[tuple]] = {}
+    for r in rows:
+        by.setdefault(r[1][r[2]], []).append(r)
+    groups = list(by.items())
+    for i, (t, mine) in enumerate(groups):
+        if mine[0][4]:
+            yield from combinations(mine, 2)
+        for u, theirs in groups[:i]:
+            if lexicon.cost(kind, t, u) is not None:
+                yield from product(mine, theirs)
 
 
 _FIT = "kind string, a string, b string, fit int"
@@ -523,11 +563,9 @@ def _paired(most: int, lexicon: Lexicon):
                 rows += group  # of one deletion there are no more than its pairs
                 kind, made = rows[0][1], rows[0][8]
                 match = _matcher(kind, lexicon)
-                brief = _brief(rows)
-                for i, x in enumerate(brief):
-                    for y in brief[:i]:
-                        if _may_pair(x, y, kind, made, lexicon) and (fit := match(x[1], y[1])):
-                            out.add(kind, min(x[0], y[0]), max(x[0], y[0]), fit, *[None] * 8)
+                for x, y in _in_pairs(_brief(rows), kind, lexicon):
+                    if _may_pair(x, y, kind, made, lexicon) and (fit := match(x[1], y[1])):
+                        out.add(kind, min(x[0], y[0]), max(x[0], y[0]), fit, *[None] * 8)
             if out.full():
                 yield out.batch()
         yield out.batch()

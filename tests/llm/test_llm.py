@@ -74,6 +74,10 @@ def test_graph_recall():
 
 def test_edits():
     assert [names.edits(a, b) for a, b in (("budi", "bdi"), ("xenia", "xneia"), ("milan", "milsn"), ("abc", "xyz"), ("", "a"))] == [1, 1, 1, 2, 1]
+    rng = random.Random(1)
+    for _ in range(20_000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 5))) for _ in range(2))
+        assert names.edits(a, b) == min(names.edits(a, b, 3), 2)
 
 
 @pytest.mark.parametrize("a, b, fit", [
