@@ -178,6 +178,15 @@ def may_leak(payload: Column) -> Column:
     return found
 
 
+#: Fixed value: the classification of what may not leave at all.
+SECRET = "SECRET"
+
+
+def transfer_problem(payload: Column, classification: Column) -> Column:
+    """Why a payload may not leave (null: it may): it is classified as secret, or has a part that may not leave."""
+    return F.when(F.upper(classification) == SECRET, "secret").when(may_leak(payload), "leak")
+
+
 def domain_of(target: Column) -> Column:
     """The host of an http(s) address in lower case; a bare host with a point, or localhost, without its port; else null."""
     bare = ~F.contains(target, F.lit("/")) & ~F.contains(target, F.lit(" ")) & (F.contains(target, F.lit(".")) | (target == "localhost"))

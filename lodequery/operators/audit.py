@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequery.functions.text import redact
 from lodequery.operators.folds import fold
 
 GENESIS = "0" * 64
@@ -25,15 +26,66 @@ def canonical_json(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
 
 
-def append_hashes(log: DataFrame) -> DataFrame:
-    """``chain, seq, payload`` and other columns, with ``prev_hash`` and ``hash``."""
+def canonical(text: Column) -> Column:
+    """JSON with sorted keys at every depth and no white space, null values kept; what isn't JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
-    def step(state: str, row: dict):
-        made = hashlib.sha256(f"{state}:{row['payload']}".encode()).hexdigest()
-        return made, f"{state}|{made}"
 
-    both = fold(log, ["chain"], ["seq"], ["payload"], lambda: GENESIS, step, "both", "string")
-    return both.withColumn("prev_hash", F.substring_index("both", "|", 1)).withColumn("hash", F.substring_index("both", "|", -1)).drop("both")
+#: Keys of an entry that aren't hashed.
+UNHASHED = ("hash", "prev_hash", "sequence_number")
+
+
+def hashable(entry: Column) -> Column:
+    """The canonical JSON of an entry (a JSON object) without what its place in the chain gives it."""
+    held = F.map_filter(F.from_json(entry, "map<string,variant>"), lambda k, _: ~k.isin(*UNHASHED))
+    name = lambda k: F.to_json(F.to_variant_object(F.struct(k.alias("k"))))
+    pairs = F.transform(F.array_sort(F.map_keys(held)), lambda k: F.concat(name(k).substr(F.lit(6), F.length(name(k)) - 6), F.lit(":"), F.coalesce(F.to_json(F.element_at(held, k)), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def chain_ends(stored: DataFrame) -> DataFrame:
+    """``chain, last_seq, last_hash``: where each stored chain goes on."""
+    return stored.groupBy("chain").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"))
+
+
+def append_hashes(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``chain, seq, payload`` and other columns, with ``prev_hash`` and ``hash``.
+
+    Without ``stored`` each chain begins with the genesis hash. With it, the new entries go on from the last stored one
+    of their chain: they are numbered on from it in the order of their own ``seq``, and linked to its hash. Of ``stored``
+    only ``chain, seq, hash`` are read, one row a chain is kept.
+    """
+
+    def step(state: tuple, payload: str, *_):
+        n, last = state
+        made = hashlib.sha256(f"{last}:{payload}".encode()).hexdigest()
+        return (n + 1, made), f"{n + 1}|{last}|{made}"
+
+    if stored is None:
+        both = fold(log, ["chain"], ["seq"], ["payload"], lambda *_: (0, GENESIS), step, "both", "string")
+    else:
+        at = log.join(chain_ends(stored), "chain", "left").withColumn("last_seq", F.coalesce("last_seq", F.lit(0)).cast("bigint")).withColumn("last_hash", F.coalesce("last_hash", F.lit(GENESIS)))
+        both = fold(at, ["chain"], ["seq"], ["payload", "last_seq", "last_hash"], lambda _, n, last: (n, last), step, "both", "string")
+        both = both.withColumn("seq", F.split_part("both", F.lit("|"), F.lit(1)).cast(dict(log.dtypes)["seq"])).drop("last_seq", "last_hash")
+    part = lambda i: F.split_part("both", F.lit("|"), F.lit(i))
+    return both.withColumn("prev_hash", part(2)).withColumn("hash", part(3)).drop("both")
+
+
+def append(log: DataFrame, stored: DataFrame | None = None, text_columns: Sequence[str] = ("payload",)) -> DataFrame:
+    """Entries as they are stored: secrets in their text columns masked, numbered, linked and hashed."""
+    for c in text_columns:
+        log = log.withColumn(c, redact(F.col(c)))
+    return append_hashes(log, stored)
+
+
+def rotate(log: DataFrame, now, most_bytes: int = 0, most_days: int = 0) -> bool:
+    """Whether a log is due to be archived: its entries as JSON lines pass ``most_bytes``, or the first one is older than
+    ``most_days`` (0: no such limit). Entries keep their prev_hash, and the next chain goes on from the last hash."""
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*log.columns)).cast("binary")) + 1), F.lit(0))
+    first = F.min_by("ts", "seq") if "seq" in log.columns else F.min("ts")
+    row = log.agg(size.alias("bytes"), first.alias("first")).first()
+    old = most_days > 0 and row["first"] is not None and (now - row["first"]).total_seconds() > most_days * 86_400
+    return bool(most_bytes and row["bytes"] > most_bytes or old)
 
 
 def check_entries(log: DataFrame, partial: bool = False) -> DataFrame:
@@ -89,6 +141,31 @@ def session_bounds(log: DataFrame) -> DataFrame:
     return log.groupBy("session_id").agg(F.count("*").alias("entries"), F.min_by("prev_hash", "seq").alias("root_hash"), F.max_by("hash", "seq").alias("leaf_hash"))
 
 
+def export_session(log: DataFrame, session_id) -> tuple[dict, DataFrame]:
+    """A session's bundle: a header (version, session, entries, root and leaf hash, whether the entries are whole as a part
+    of their chain) and the entries."""
+    rows = log.where(F.col("session_id") == session_id)
+    bounds = session_bounds(rows).first()
+    found = verify(rows, partial=True).agg(F.count_if(~F.col("valid")).alias("bad")).first()
+    header = {"version": "1.0.0", "session_id": session_id, "entries": bounds["entries"] if bounds else 0, "root_hash": bounds["root_hash"] if bounds else GENESIS, "leaf_hash": bounds["leaf_hash"] if bounds else GENESIS}
+    return header | {"integrity_valid": not found["bad"]}, rows
+
+
+def verify_bundle(header: dict, entries: DataFrame) -> DataFrame:
+    """``valid, entries, verified, broken_event, reason``: a bundle by itself, its first entry following the root hash, each
+    other the one before. A number or leaf hash other than the header's is broken, too."""
+    checked = check_entries(entries.withColumn("chain", F.lit("bundle")), partial=True)
+    rows = entries.agg(F.count("*").alias("n"), F.min_by("prev_hash", "seq").alias("root"), F.max_by("hash", "seq").alias("leaf"))
+    place = checked.withColumn("_at", F.row_number().over(Window.partitionBy("chain").orderBy("seq", "event_id")))
+    bad = F.col("broken").isNotNull()
+    first = place.agg(F.min(F.when(bad, F.col("_at"))).alias("at"), F.min_by("event_id", F.when(bad, F.col("_at"))).alias("event"), F.min_by("broken", F.when(bad, F.col("_at"))).alias("why"))
+    both = rows.join(first)  # one row and one row
+    root = (F.col("n") > 0) & ~F.col("root").eqNullSafe(F.lit(header["root_hash"]))
+    other = (F.col("n") != header["entries"]) | ((F.col("n") > 0) & ~F.col("leaf").eqNullSafe(F.lit(header["leaf_hash"])))
+    reason = F.when(root, "root").when(F.col("at").isNotNull(), F.col("why")).when(other, "header")
+    return both.select(reason.isNull().alias("valid"), F.col("n").alias("entries"), F.when(root, 0).otherwise(F.coalesce(F.col("at") - 1, F.col("n"))).cast("bigint").alias("verified"), F.when(~root, F.col("event")).alias("broken_event"), reason.alias("reason"))
+
+
 def timeline(log: DataFrame) -> DataFrame:
     """Each session's entries numbered in order."""
     return log.withColumn("step", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")))
@@ -133,6 +210,11 @@ def browser_trace(log: DataFrame) -> DataFrame:
     return log.where(F.col("action").isin(BROWSER_ACTIONS) & F.col("event_type").isin("ACTION_PROPOSED", "ACTION_EXECUTED"))
 
 
+#: Parts of an error that tell a violation, and a capability that nobody registered.
+VIOLATIONS = ("[SecurityViolation]", "forged approval token")
+UNREGISTERED = "not registered in capability registry"
+
+
 def classify(event_type: Column, decision: Column, error: Column, sensitive: Column, indicators: Column, tampered: Column) -> Column:
     """Severity, the first that applies."""
     failed = F.coalesce(error, F.lit(""))
@@ -140,12 +222,12 @@ def classify(event_type: Column, decision: Column, error: Column, sensitive: Col
     yes = lambda c: F.coalesce(c, F.lit(False))
     return (
         F.when(yes(tampered), "CRITICAL")
-        .when(has("[SecurityViolation]") | has("forged approval token"), "CRITICAL")
+        .when(has(VIOLATIONS[0]) | has(VIOLATIONS[1]), "CRITICAL")
         .when(yes(F.array_contains(indicators, "PROMPT_INJECTION")), "HIGH")
         .when((event_type == "ACTION_BLOCKED") & yes(sensitive), "HIGH")
         .when(event_type == "SESSION_STOPPED", "HIGH")
         .when(yes(decision == "LIMITED"), "MEDIUM")
-        .when(has("not registered in capability registry"), "MEDIUM")
+        .when(has(UNREGISTERED), "MEDIUM")
         .when(event_type == "ACTION_BLOCKED", "MEDIUM")
         .when(event_type == "USER_DENIED", "LOW")
         .when((event_type == "ACTION_FAILED") | (failed != ""), "LOW")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,10 +49,11 @@ _RELATIONS = [(re.compile(rf"(.+?)\s+(?:{v})\s+(.+)", re.I), p, c) for v, p, c i
 _SENTENCE = re.compile(r"(?<=[.?!;])\s+")
 
 
-def mentions_in(text: str | None) -> list[tuple[str, str, int, int, float]]:
-    """``name, type, start, end, confidence``: known entities in the catalog's order, then capitalised phrases; a span once."""
+def mentions_in(text: str | None, catalog=_CATALOG) -> list[tuple[str, str, int, int, float]]:
+    """``name, type, start, end, confidence``: known entities in the catalog's order, then capitalised phrases; a span once.
+    ``catalog``: names, types and compiled patterns, if not the one above."""
     out: dict[tuple[int, int], tuple[str, str, int, int, float]] = {}
-    for name, kind, pattern in _CATALOG:
+    for name, kind, pattern in catalog:
         for m in pattern.finditer(text or ""):
             out.setdefault(m.span(), (name, kind, *m.span(), KNOWN))
     for m in _CAPITALS.finditer(text or ""):
@@ -84,17 +85,21 @@ def relations_in(text: str | None, entities: list[tuple[str, list[str]]]) -> lis
     return out
 
 
-def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(d, c, *m) for d, c, t in zip(*(b.column(x).to_pylist() for x in ("document_id", "chunk_id", "text"))) for m in mentions_in(t)]
-        cols = list(zip(*rows)) or [[]] * 7
-        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["document_id", "chunk_id", "name", "entity_type", "start_offset", "end_offset", "confidence"])
+def _mentions(find: Callable[[str | None], list[tuple]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, c, *m) for d, c, t in zip(*(b.column(x).to_pylist() for x in ("document_id", "chunk_id", "text"))) for m in find(t)]
+            cols = list(zip(*rows)) or [[]] * 7
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["document_id", "chunk_id", "name", "entity_type", "start_offset", "end_offset", "confidence"])
+
+    return run
 
 
-def extract_mentions(chunks: DataFrame) -> DataFrame:
-    """Mentions of ``document_id, chunk_id, text``; offsets count code points of the chunk."""
-    return chunks.select("document_id", "chunk_id", "text").mapInArrow(_mentions, "document_id string, chunk_id string, name string, entity_type string, start_offset int, end_offset int, confidence double")
+def extract_mentions(chunks: DataFrame, find: Callable[[str | None], list[tuple]] = mentions_in) -> DataFrame:
+    """Mentions of ``document_id, chunk_id, text``; offsets count code points of the chunk. ``find``: another extractor, which
+    gives what :func:`mentions_in` gives of a text."""
+    return chunks.select("document_id", "chunk_id", "text").mapInArrow(_mentions(find), "document_id string, chunk_id string, name string, entity_type string, start_offset int, end_offset int, confidence double")
 
 
 def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

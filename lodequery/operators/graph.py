@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,11 @@ def neighbors(entities: DataFrame, relationships: DataFrame, start: str, depth:
     return Neighborhood(list(found), list(edges), found)
 
 
+def related_entities(entities: DataFrame, relationships: DataFrame, start: str, depth: int = DEPTH, direction: str = BOTH, predicates: Sequence[str] | None = None, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> list[str]:
+    """The neighbourhood of an entity without itself."""
+    return [n for n in neighbors(entities, relationships, start, depth, direction, predicates, max_nodes, max_edges).nodes if n != start]
+
+
 def find_paths(entities: DataFrame, relationships: DataFrame, start: str, end: str, depth: int = PATH_DEPTH, predicates: Sequence[str] | None = None, most: int = MAX_PATHS) -> list[tuple[list[str], list[str]]]:
     """Up to ``most`` outbound paths as (nodes, edges) of a breadth-first tree: a node is entered once, every edge that
     reaches the end makes a path. A level is a written table, so it may have any number of nodes; its nodes carry the path
@@ -117,15 +123,13 @@ def reach(relationships: DataFrame, starts: DataFrame, depth: int = DEPTH, direc
     """``start, node, depth``: every node within ``depth`` steps of each of any number of starts (``start``), with the
     least number of steps; the start itself at 0."""
     near = written(ends(relationships, direction, predicates).select("node", "other").distinct(), "ends")
-    seen = written(starts.select("start").where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "reach")
+    levels = [written(starts.select("start").where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "reach")]
     for level in range(1, min(depth, DEEPEST) + 1):
-        last = seen.where(F.col("depth") == level - 1)
-        new = last.join(near, "node").select("start", F.col("other").alias("node")).distinct()
-        new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level))
-        grown = written(seen.unionByName(new), "reach")
-        remove(seen)
-        seen = grown
-    return seen
+        new = levels[-1].join(near, "node").select("start", F.col("other").alias("node")).distinct()
+        for seen in levels:
+            new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        levels.append(written(new.withColumn("depth", F.lit(level)), "reach"))  # only what is new is written
+    return reduce(DataFrame.unionByName, levels)
 
 
 def degrees(relationships: DataFrame) -> DataFrame:
@@ -171,6 +175,36 @@ def find_relationships(relationships: DataFrame, predicate: str | None = None, s
     return out
 
 
+def _first_of_id(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``new`` with ``_exists``: whether its id is stored, or an earlier new row (by seq) has it."""
+    known = stored.select(key).distinct().withColumn("_known", F.lit(True))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+    return new.withColumn("_place", place).join(known, key, "left").withColumn("_exists", F.coalesce("_known", F.lit(False)) | (F.col("_place") > 1)).drop("_known", "_place")
+
+
+def entity_problems(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` with ``problem``: why an entity can't be created (null: it can): no id, or one that exists."""
+    rows = _first_of_id(entities, new, "entity_id")
+    return rows.withColumn("problem", F.when(F.col("entity_id").isNull(), "no id").when(F.col("_exists"), "exists")).select(*new.columns, "problem")
+
+
+def relationship_problems(entities: DataFrame, relationships: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` with ``problem``: why an edge can't be created (null: it can): no id, one that exists, or an end that doesn't."""
+    rows = _first_of_id(relationships, new, "relationship_id")
+    for c in ("subject_entity_id", "object_entity_id"):
+        rows = rows.join(entities.select(F.col("entity_id").alias(c), F.lit(True).alias(f"_{c}")).distinct(), c, "left")
+    problem = F.when(F.col("relationship_id").isNull(), "no id").when(F.col("_exists"), "exists").when(F.col("_subject_entity_id").isNull(), "no subject").when(F.col("_object_entity_id").isNull(), "no object")
+    return rows.withColumn("problem", problem).select(*new.columns, "problem")
+
+
+def update(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Entities, edges, evidence or mentions with what ``changes`` (the key and some columns, one row an id) says of them,
+    nulls meaning no change; ids that aren't stored change nothing."""
+    other = [c for c in changes.columns if c != key]
+    fresh = changes.select(key, *[F.col(c).alias(f"_{c}") for c in other])
+    return stored.join(fresh, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in other else F.col(c) for c in stored.columns])
+
+
 def delete_entities(entities: DataFrame, relationships: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the entities of ``ids (entity_id)`` and their edges; evidence stays."""
     gone = ids.select("entity_id").distinct()
@@ -208,8 +242,6 @@ def provenance(entities: DataFrame, relationships: DataFrame, evidence: DataFram
     return cited.join(evidence.select("evidence_id", "document_id", "chunk_id"), "evidence_id").select("relationship_id", "statement", "evidence_id", "document_id", "chunk_id")
 
 
-
-
 def structured_query(entities: DataFrame, relationships: DataFrame, entity: str | None = None, kind: str | None = None, depth: int = 1) -> DataFrame:
     """The neighbourhood of the first entity of a name, or, without one, the entities of a type."""
     if entity is None:

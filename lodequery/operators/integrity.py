@@ -63,3 +63,18 @@ def repair(entities: DataFrame, relationships: DataFrame, evidence: DataFrame) -
     merged = pruned.groupBy("subject_entity_id", F.upper("predicate").alias("predicate"), "object_entity_id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "kept"))), lambda x: x["kept"])
     return merged.agg(F.min_by("relationship_id", "seq").alias("relationship_id"), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(ordered)).alias("evidence_ids"), F.count("*").alias("merged"))
+
+
+def repair_actions(entities: DataFrame, relationships: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: ``deleted`` edges that lead nowhere, ``pruned`` ids of evidence that doesn't exist (of the other edges),
+    ``merged`` repeated edges: what :func:`repair` does."""
+    known = entities.select("entity_id").distinct()
+    whole = relationships
+    for c in ("subject_entity_id", "object_entity_id"):
+        whole = whole.join(known.withColumnRenamed("entity_id", c), c, "left_semi")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    deleted = one(relationships, "a").join(one(whole, "b")).select((F.col("a") - F.col("b")).alias("deleted"))
+    cited = whole.select("relationship_id", F.explode("evidence_ids").alias("evidence_id"))
+    pruned = one(cited.join(evidence.select("evidence_id"), "evidence_id", "left_anti"), "pruned")
+    same = whole.groupBy("subject_entity_id", F.upper("predicate"), "object_entity_id").agg((F.count("*") - 1).alias("n"))
+    return deleted.join(pruned).join(same.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("merged")))  # one row each

@@ -152,15 +152,16 @@ def bm25_search_many(records: DataFrame, queries: DataFrame, k: int = TOP_K, k1:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(1, k)).drop("place")
 
 
-def fuse(dense: DataFrame | None, sparse: DataFrame | None, k: int = TOP_K, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
-    """``id, score, dense_score, sparse_score``: candidates of both lists by the weighted sum of their min-max scores, 6 decimals; a missing score counts 0."""
+def fuse(dense: DataFrame | None, sparse: DataFrame | None, k: int = TOP_K, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, normalizer=min_max) -> DataFrame:
+    """``id, score, dense_score, sparse_score``: candidates of both lists by the weighted sum of their min-max scores, 6
+    decimals; a missing score counts 0. ``normalizer(df, column, out)``: another way to bring the scores of a list to 0..1."""
     spark = (dense if dense is not None else sparse).sparkSession
     empty = lambda c: spark.createDataFrame([], f"id string, seq bigint, {c} double")
     dense = dense if dense is not None else empty("dense_score")
     sparse = sparse if sparse is not None else empty("sparse_score")
     wd, ws = fusion_weights(dense_weight, sparse_weight)
-    d = min_max(dense, "dense_score", "nd").withColumnRenamed("seq", "ds")
-    s = min_max(sparse, "sparse_score", "ns").withColumnRenamed("seq", "ss")
+    d = normalizer(dense, "dense_score", "nd").withColumnRenamed("seq", "ds")
+    s = normalizer(sparse, "sparse_score", "ns").withColumnRenamed("seq", "ss")
     both = d.join(s, "id", "full_outer")
     score = F.round(F.coalesce(wd * F.col("nd"), F.lit(0.0)) + F.coalesce(ws * F.col("ns"), F.lit(0.0)), 6)
     # Dense candidates come first, each list in the order of its ranking.
@@ -169,17 +170,19 @@ def fuse(dense: DataFrame | None, sparse: DataFrame | None, k: int = TOP_K, dens
     return ranked.orderBy(*order).limit(max(1, k)).select("id", "score", "dense_score", "sparse_score")
 
 
-def hybrid_search(records: DataFrame, query: str | None = None, vector: Sequence[float] | None = None, k: int = TOP_K, mode: str = "hybrid", dimension: int | None = None, metric: str = COSINE, where: Mapping[str, Any] | None = None, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, min_score: float = 0.0) -> DataFrame:
+def hybrid_search(records: DataFrame, query: str | None = None, vector: Sequence[float] | None = None, k: int = TOP_K, mode: str = "hybrid", dimension: int | None = None, metric: str = COSINE, where: Mapping[str, Any] | None = None, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, min_score: float = 0.0, index=None, normalizer=min_max) -> DataFrame:
     """Search of a collection: ``mode`` is dense, sparse or hybrid. Each side gives twice k candidates; a query without a
-    vector is embedded; a side without its input gives none. With ``min_score`` above 0, results below it are left out."""
+    vector is embedded; a side without its input gives none. With ``min_score`` above 0, results below it are left out.
+    ``index``: a :class:`lodequery.operators.index.KeywordIndex` of the records, else their texts are read."""
     if min_score > 0:
-        return hybrid_search(records, query, vector, k, mode, dimension, metric, where, dense_weight, sparse_weight).where(F.col("score") >= min_score)
+        return hybrid_search(records, query, vector, k, mode, dimension, metric, where, dense_weight, sparse_weight, 0.0, index, normalizer).where(F.col("score") >= min_score)
     if mode not in ("dense", "sparse", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     if vector is None and query and dimension and mode != "sparse":
         vector = embed_query(query, dimension)
     dense = dense_search(records, vector, OVERFETCH * k, metric, where) if vector is not None and mode != "sparse" else None
-    sparse = bm25_search(records, query, OVERFETCH * k, where) if query and mode != "dense" else None
+    look = index.search if index is not None else lambda *a: bm25_search(records, *a)
+    sparse = look(query, OVERFETCH * k, where) if query and mode != "dense" else None
     if dense is None and sparse is None:
         return records.select("id", F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score")).limit(0)
     if mode != "hybrid":
@@ -187,7 +190,7 @@ def hybrid_search(records: DataFrame, query: str | None = None, vector: Sequence
         name = "dense_score" if dense is not None else "sparse_score"
         out = one.orderBy(F.col(name).desc(), "seq").limit(max(1, k))
         return out.select("id", F.col(name).alias("score"), *[F.col(c) if c == name else F.lit(None).cast("double").alias(c) for c in ("dense_score", "sparse_score")])
-    return fuse(dense, sparse, k, dense_weight, sparse_weight)
+    return fuse(dense, sparse, k, dense_weight, sparse_weight, normalizer)
 
 
 def total_candidates(dense: DataFrame, sparse: DataFrame) -> DataFrame:
