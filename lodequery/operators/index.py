@@ -22,8 +22,9 @@ from lodequery.functions.text import bm25_tokens, query_terms
 from lodequery.operators.filters import metadata_filter
 from lodequery.operators.search import B, K1, TOP_K, indexed_text
 from lodequery.sources.stores import _delete, _read_text, _write_text
+from lodequery.storage import remove, written
 
-BUCKETS = 64
+BUCKETS = 32
 _POSTING = "term string, id string, tf bigint, bucket int, segment int"
 _DOCUMENT = "id string, seq bigint, dl int, metadata string, gone boolean, segment int"
 
@@ -61,10 +62,12 @@ class KeywordIndex:
         last = Window.partitionBy("id").orderBy(F.col("seq").desc())
         rows = records.where("id is not null").withColumn("_n", F.row_number().over(last)).where("_n = 1")
         name = f"segment-{uuid.uuid4().hex}"
-        tokens = rows.select("id", "seq", "metadata", F.explode(F.array(bm25_tokens(indexed_text()))).alias("tokens"))
+        # Texts are tokenized once: documents, the sample of the ranges and the postings are all taken from the tokens.
+        tokens = written(rows.select("id", "seq", "metadata", F.explode(F.array(bm25_tokens(indexed_text()))).alias("tokens")), "tokens")
         tokens.select("id", "seq", F.greatest(F.size("tokens"), F.lit(0)).alias("dl"), "metadata", F.lit(False).alias("gone")).write.parquet(f"{self.path}/{name}/documents")
-        terms = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-        self._postings(terms, name)
+        counted = tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        self._postings(counted.select("term", "id", "tf"), name)
+        remove(tokens)
         self._commit([*self.manifest["segments"], name])
 
     def _postings(self, terms: DataFrame, name: str) -> None:

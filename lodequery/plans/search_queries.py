@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,22 @@ from lodequery.functions.text import BASES, MARKED, STOP_WORDS, bm25_tokens
 from lodequery.operators import search as S
 from lodequery.operators.embedding import embed_query, embed_udf, token_slots
 from lodequery.operators.filters import metadata_filter
+from lodequery.operators.index import KeywordIndex
 from lodequery.operators.versions import current_version
+from lodequery.sources.stores import is_collection_id
 from lodequery.sources.tables import table
+from lodequery.storage import shared_dir
 
 COLLECTION, DIMENSION = "col_agent_memory", 32
 VECTOR = [math.sin(13 + d) for d in range(DIMENSION)]
 QUERY = "similarity cache of the vector store in the audit trail"
 TERMS = ["similarity", "cache", "vector", "store", "audit", "trail"]
 FILTERS = {
+    "empty": {},
     "eq": {"language": "de"},
+    "eq_operator": {"language": {"eq": "es"}},
+    "gt": {"year": {"gt": 2022}},
+    "lte": {"year": {"lte": 2020}},
     "ne_missing": {"language": {"ne": "de"}},
     "range": {"year": {"gte": 2021, "lt": 2025}},
     "in": {"language": {"in": ["es", "id"]}},
@@ -63,12 +71,41 @@ def _documents(spark, d):
     return table(spark, d, "documents").select(F.col("document_id").alias("id"), F.col("doc_id").alias("seq"), "text", F.lit(None).cast("string").alias("metadata"), "lang")
 
 
+_INDEXES: dict[tuple[str, str, str], KeywordIndex] = {}
+
+
+def index_of(spark: SparkSession, d: str, name: str, rows) -> KeywordIndex:
+    """The index of a table's texts in the shared folder, written when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        built = KeywordIndex(spark, f"{shared_dir(spark)}/lodequery/index-{uuid.uuid4().hex}")
+        built.upsert(rows(spark, d))
+        _INDEXES[key] = built
+    return _INDEXES[key]
+
+
 def bm25_topk(spark, d):
+    """From the written index: only the buckets of the asked terms are read."""
+    return index_of(spark, d, "documents", _documents).search(QUERY, 10).select("id", F.round("sparse_score", 6).alias("score"))
+
+
+def bm25_scan_topk(spark, d):
+    """Without an index, in one pass over the texts."""
     return S.bm25_search(_documents(spark, d), QUERY, 10).select("id", F.round("sparse_score", 6).alias("score"))
 
 
 def bm25_filtered_topk(spark, d):
-    return S.bm25_search(records(spark, d), QUERY, 10, {"language": "en"}).select("id", F.round("sparse_score", 6).alias("score"))
+    return index_of(spark, d, "records", records).search(QUERY, 10, {"language": "en"}).select("id", F.round("sparse_score", 6).alias("score"))
+
+
+def index_updates(spark, d):
+    """An index of the even documents, to which the odd ones are added and from which those divisible by 10 are deleted."""
+    rows = _documents(spark, d)
+    ix = KeywordIndex(spark, f"{shared_dir(spark)}/lodequery/index-{uuid.uuid4().hex}")
+    ix.upsert(rows.where("seq % 2 = 0"))
+    ix.upsert(rows.where("seq % 2 = 1 or seq % 4 = 0"))  # every fourth again
+    ix.delete(rows.where("seq % 10 = 0").select("id"))
+    return ix.search(QUERY, 10).select("id", F.round("sparse_score", 6).alias("score"))
 
 
 def bm25_repeated_terms(spark, d):
@@ -110,17 +147,33 @@ def hybrid_search_text(spark, d):
     return S.hybrid_search(collection(spark, d), QUERY, dimension=DIMENSION, k=10).select("id", "score")
 
 
+def hybrid_indexed(spark, d):
+    r = collection(spark, d)
+    return S.hybrid_search(r, QUERY, dimension=DIMENSION, k=10, index=index_of(spark, d, "collection", collection)).select("id", "score")
+
+
+def hybrid_min_score(spark, d):
+    return S.hybrid_search(collection(spark, d), QUERY, dimension=DIMENSION, k=10, min_score=0.5).select("id", "score")
+
+
+def collection_ids(spark, d):
+    """Which names could name a collection: ids of collections and records, and contents' references."""
+    t = lambda n, c: table(spark, d, n).select(F.col(c).alias("name"))
+    names = t("collections", "collection_id").union(t("collections", "name")).union(t("vector_records", "content_ref")).where("name is not null").distinct()
+    return names.select("name", is_collection_id(F.col("name")).alias("valid"))
+
+
 def minmax_scores(spark, d):
     dense, _ = _sides(spark, d)
     return S.min_max(dense, "dense_score", "n").select("id", F.round("n", 6).alias("normalized"))
 
 
 def retrieval_eval(spark, d):
-    """Each evaluation item's ten best documents; those it leaks into aren't known here, so the expected one is the best of the next search with half the terms."""
+    """Each evaluation item's ten best documents; those it leaks into aren't known here, so the expected one is the best of a search with every other term of the item."""
     r = _documents(spark, d)
     items = table(spark, d, "eval_items").where("text is not null")
     full = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    half = items.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    half = items.select(F.col("item_id").alias("query_id"), F.array_join(F.filter(bm25_tokens(F.col("text")), lambda _, i: i % 2 == 0), " ").alias("query"))
     w = S.Window.partitionBy("query_id").orderBy(F.round("sparse_score", 9).desc(), "seq")
     expected = S.bm25_search_many(r, half, 1).select("query_id", "id")
     ranked = S.bm25_search_many(r, full, 10).withColumn("place", F.row_number().over(w)).select("query_id", "id", "place")
@@ -143,7 +196,7 @@ def hash_embed_vectors(spark, d):
 
 QUERIES = {f"filter_{n}": _filtered(s) for n, s in FILTERS.items()} | {f"knn_{m}": _knn(m) for m in ("cosine", "dot", "euclidean")} | {
     f.__name__: f
-    for f in (knn_filtered, knn_batch, vector_validity, bm25_topk, bm25_filtered_topk, bm25_repeated_terms, bm25_batch, term_stats, corpus_stats, hybrid_topk, hybrid_weights,
+    for f in (knn_filtered, knn_batch, vector_validity, bm25_topk, bm25_scan_topk, index_updates, hybrid_indexed, hybrid_min_score, collection_ids, bm25_filtered_topk, bm25_repeated_terms, bm25_batch, term_stats, corpus_stats, hybrid_topk, hybrid_weights,
               hybrid_total_candidates, hybrid_search_text, minmax_scores, retrieval_eval, record_counts, hash_embed_tokens, hash_embed_vectors)
 }
 
@@ -215,9 +268,10 @@ def _fuse_sql(wd: float, ws: float) -> str:
 _UNITS = "flatten(list_transform(string_split({t}, ''), lambda c: case when unicode(c) > 65535 then [(55296 + ((unicode(c) - 65536) >> 10))::ubigint, (56320 + ((unicode(c) - 65536) & 1023))::ubigint] else [unicode(c)::ubigint] end))"
 
 
-def _batch_ctes(text: str, p: str = "") -> str:
+def _batch_ctes(text: str, p: str = "", every_other: bool = False) -> str:
     """BM25 of all evaluation items over the documents; p: prefix of the names."""
-    return f"""{p}asked as (select query_id, term, count(*) as times from (select item_id as query_id, unnest({_tokens_sql(text)}) as term from eval_items where text is not null) group by all),
+    terms = f"list_filter({_tokens_sql(text)}, lambda t, i: i % 2 = 1)" if every_other else _tokens_sql(text)
+    return f"""{p}asked as (select query_id, term, count(*) as times from (select item_id as query_id, unnest({terms}) as term from eval_items where text is not null) group by all),
 {p}scored as (select query_id, docs.id, docs.seq, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / average))) as s
   from {p}asked join alldf using (term) join alltf using (term) join docs using (id) cross join st group by all),
 {p}best as (select *, row_number() over (partition by query_id order by round(s, 9) desc, seq) as place from {p}scored)"""
@@ -242,6 +296,10 @@ h as (select token, {_slot_sql('token')} % 64 as slot, case when {_slot_sql("tok
 v as (select id, slot, sum(weight * sign) as weight from p join h using (token) group by all)"""
 
 ORACLE = {
+    "filter_empty": f"with {_CUR} select id, collection_id from cur",
+    "filter_eq_operator": _filter_sql(_LANG.format("= 'es'")),
+    "filter_gt": _filter_sql(_YEAR.format("> 2022")),
+    "filter_lte": _filter_sql(_YEAR.format("<= 2020")),
     "filter_eq": _filter_sql(_LANG.format("= 'de'")),
     "filter_ne_missing": _filter_sql("not coalesce(" + _LANG.format("= 'de'") + ", false)"),
     "filter_range": _filter_sql(_YEAR.format(">= 2021") + " and " + _YEAR.format("< 2025")),
@@ -259,13 +317,18 @@ select query, id, round(s, 6) as score from s qualify row_number() over (partiti
     "bm25_topk": f"with {_bm25_sql(_DOCS, TERMS, 10)} select id, round(s, 6) as score from scores order by s desc, seq limit 10",
     "bm25_filtered_topk": f"with {_CUR}, {_bm25_sql(_RECS, TERMS, 10, _EN)} select id, round(s, 6) as score from scores order by s desc, seq limit 10",
     "bm25_repeated_terms": f"with {_bm25_sql(_DOCS, ['cache', 'cache', 'vector'], 10)} select id, round(s, 6) as score from scores order by s desc, seq limit 10",
+    "bm25_scan_topk": f"with {_bm25_sql(_DOCS, TERMS, 10)} select id, round(s, 6) as score from scores order by s desc, seq limit 10",
+    "index_updates": f"with {_bm25_sql(_DOCS + ' where doc_id % 10 <> 0', TERMS, 10)} select id, round(s, 6) as score from scores order by s desc, seq limit 10",
+    "collection_ids": "select distinct name, regexp_full_match(trim(name), '[a-zA-Z0-9_-]{1,64}') as valid from (select collection_id as name from collections union all select name from collections union all select content_ref from vector_records) where name is not null",
     "term_stats": f"with t as (select document_id, unnest({_tokens_sql('text')}) as term from documents) select term, count(distinct document_id) as df, count(*) as cf from t group by term",
     "corpus_stats": f"with t as (select len(coalesce({_tokens_sql('text')}, [])) as dl from documents) select count(*) as n_docs, sum(dl)::bigint as total_length, round(sum(dl) / count(*), 6) as avg_length from t",
     "hybrid_topk": _fuse_sql(0.7, 0.3),
     "hybrid_weights": _fuse_sql(0.5, 0.5),
     "hybrid_search_text": _fuse_sql(0.7, 0.3).replace(_Q, _HYBRID_TEXT),
+    "hybrid_indexed": _fuse_sql(0.7, 0.3).replace(_Q, _HYBRID_TEXT),
+    "hybrid_min_score": f"select * from ({_fuse_sql(0.7, 0.3).replace(_Q, _HYBRID_TEXT)}) where score >= 0.5",
     "bm25_batch": _BATCH + " select query_id, id, round(s, 4) as score from best where place <= 3",
-    "retrieval_eval": f"""{_BATCH}, {_batch_ctes('substr(text, 1, 200)', 'h')},
+    "retrieval_eval": f"""{_BATCH}, {_batch_ctes('text', 'h', every_other=True)},
 x as (select query_id, h.id as expected from hbest h where place = 1),
 e as (select x.query_id, b.place from x left join best b on b.query_id = x.query_id and b.id = x.expected and b.place <= 10)
 select count(*) as queries, round(avg(case when place is null then 0 else 1 end), 6) as recall, round(avg(case when place is null then 0 else 0.1 end), 6) as precision, round(avg(coalesce(1 / place, 0)), 6) as mrr from e""",
