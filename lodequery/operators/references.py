@@ -27,7 +27,8 @@ from lodequery.storage import written
 RANGE_PARENTS = 100_000
 SLICE_REFS = 200_000
 KEYS_PER_RANGE = 40
-#: At most so many ranges, so that their bounds stay small in every task's closure.
+#: At most so many ranges, so that their bounds stay small in every task's closure. Of more parents each range is cut further,
+#: by a hash of the key that its references and parents share.
 MOST_RANGES = 10_000
 
 ENTITY, EVIDENCE = "entity", "evidence"
@@ -81,7 +82,7 @@ def _probe(key: tuple, refs: pa.Table, stored: pa.Table) -> pa.Table:
     return refs.filter(pa.array(miss)).select(["relationship_id", "ref_field", "ref_id", "created_at"]).append_column("reason", pa.array(why[miss].tolist(), pa.string()))
 
 
-def orphan_references(relationships: DataFrame, entities: DataFrame, evidence: DataFrame, deletions: DataFrame, range_parents: int = RANGE_PARENTS, slice_refs: int = SLICE_REFS) -> DataFrame:
+def orphan_references(relationships: DataFrame, entities: DataFrame, evidence: DataFrame, deletions: DataFrame, range_parents: int = RANGE_PARENTS, slice_refs: int = SLICE_REFS, most_ranges: int = MOST_RANGES) -> DataFrame:
     """``relationship_id, ref_field, ref_id, created_at, reason`` of every reference that does not resolve.
 
     reason is ``missing`` (no row has the id), ``deleted`` (latest deletion not before the last write) or ``later``
@@ -95,7 +96,8 @@ def orphan_references(relationships: DataFrame, entities: DataFrame, evidence: D
     refs = written(references(relationships).withColumn("key", F.concat_ws("/", "kind", "ref_id")), "refs")
     stored = written(parents(entities, evidence, deletions).withColumn("key", F.concat_ws("/", "kind", "id")).select("key", "first_at", "dead"), "parents")
     n = stored.count()
-    ranges = min(MOST_RANGES, max(1, -(-n // range_parents)))
+    ranges = min(most_ranges, max(1, -(-n // range_parents)))
+    cuts = max(1, -(-n // (ranges * range_parents)))
     bounds: list[str] = []
     if ranges > 1:
         share = min(1.0, KEYS_PER_RANGE * ranges / n)
@@ -109,13 +111,15 @@ def orphan_references(relationships: DataFrame, entities: DataFrame, evidence: D
             yield pd.Series(np.searchsorted(edges, s.to_numpy(dtype=object), side="right").astype(np.int32))
 
     at = range_of("key") if bounds else F.lit(0)
-    refs, stored = refs.withColumn("r", at), stored.withColumn("r", at)
-    counts = {r["r"]: -(-r["n"] // slice_refs) for r in refs.groupBy("r").agg(F.count("*").alias("n")).collect()}  # a row per range
-    slices = spark.createDataFrame([(int(k), int(v)) for k, v in counts.items()] or [(0, 1)], "r int, n int")  # at most MOST_RANGES rows
+    cut = F.pmod(F.xxhash64("key"), F.lit(cuts)).cast("int") if cuts > 1 else F.lit(0)
+    refs, stored = (df.withColumn("r", at).withColumn("h", cut) for df in (refs, stored))
+    # A row a range; the cuts of a range are even but for hot keys, and as many slices are made for each of them.
+    counts = {r["r"]: -(-r["n"] // slice_refs) for r in refs.groupBy("r", "h").agg(F.count("*").alias("n")).groupBy("r").agg(F.max("n").alias("n")).collect()}
+    slices = spark.createDataFrame([(int(k), int(v)) for k, v in counts.items()] or [(0, 1)], "r int, n int")  # at most most_ranges rows
     refs = refs.join(F.broadcast(slices), "r").withColumn("s", F.pmod(F.xxhash64("relationship_id", "ref_field"), F.col("n")).cast("int")).drop("n")
     stored = stored.join(F.broadcast(slices), "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    refs = refs.select("r", "s", "key", "relationship_id", "ref_field", "ref_id", "created_at")
-    return refs.groupBy("r", "s").cogroup(stored.select("r", "s", "key", "first_at", "dead").groupBy("r", "s")).applyInArrow(_probe, "relationship_id string, ref_field string, ref_id string, created_at timestamp_ntz, reason string")
+    refs = refs.select("r", "h", "s", "key", "relationship_id", "ref_field", "ref_id", "created_at")
+    return refs.groupBy("r", "h", "s").cogroup(stored.select("r", "h", "s", "key", "first_at", "dead").groupBy("r", "h", "s")).applyInArrow(_probe, "relationship_id string, ref_field string, ref_id string, created_at timestamp_ntz, reason string")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ DEL = "record_kind string, record_id string, deleted_at timestamp_ntz"
 DAY = dt.timedelta(days=1)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"range_parents": 1, "slice_refs": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"range_parents": 1, "slice_refs": 1}, {"range_parents": 1, "slice_refs": 1, "most_ranges": 2}])
 def test_orphans(spark, sizes):
     rel = spark.createDataFrame([
         ("r1", "a", "gone", ["e1", "e1", None, " ", "nope"], T0 + DAY, T0 + DAY, 1, "clash", 1),
