@@ -383,8 +383,8 @@ def test_packed(spark):
 # Problem 7
 
 
-@pytest.mark.parametrize("block_words", [500_000, 60])
-def test_leaks(spark, block_words):
+@pytest.mark.parametrize("slice_rows", [50_000, 1])
+def test_leaks(spark, slice_rows):
     random.seed(6)
     items = [(i, " ".join(random.choice(WORDS) for _ in range(30)), "x") for i in range(6)] + [(90, None, "x"), (91, "few words", "x"), (None, " ".join(WORDS[:20]), "x")]
     words = [t.split() for _, t, _ in items[:6]]
@@ -393,10 +393,23 @@ def test_leaks(spark, block_words):
             (5, " ".join(w[0] + "​" + w[1:] for w in words[4][20:])), (6, " ".join(w.translate({ord("w"): "ｗ"}) for w in words[5])), (7, None), (8, ""), (9, " ".join(fill(30_000) + words[0][:10])), (None, " ".join(words[0])), (1, " ".join(words[0]))]
     d = spark.createDataFrame([(*x, "c", 1) for x in docs], "doc_id bigint, text string, item_id string, shingle int")
     e = spark.createDataFrame(items, "item_id bigint, text string, doc_id string")
-    assert rows(leakage.leaks(d, e, block_words=block_words)) == [(1, 0), (2, 1), (4, 3), (5, 4), (6, 5), (9, 0)]
+    assert rows(leakage.leaks(d, e, slice_rows=slice_rows)) == [(1, 0), (2, 1), (4, 3), (5, 4), (6, 5), (9, 0)]
     assert leakage.leaks(d.limit(0), e).count() == 0 and leakage.leaks(d, e.limit(0)).count() == 0
 
 
+def test_leaks_of_a_frequent_passage(spark):
+    passage = " ".join(WORDS[:12])
+    random.seed(2)
+    tail = lambda: " ".join(random.choice(WORDS[40:]) for _ in range(8))
+    items = [(i, f"{passage} {tail()}") for i in range(12)] + [(50, passage), (51, passage), (50, " ".join(WORDS[20:32]))]
+    docs = [(i, f"{tail()} {passage} {tail()}" if i % 3 else f"{passage} " * 3) for i in range(60)] + [(99, " ".join(WORDS[20:31])), (100, " ".join(WORDS[20:29]))]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    runs = lambda t: {tuple(w[i : i + 10]) for w in [t.split()] for i in range(len(w) - 9)}
+    want = sorted({(a, i) for a, x in docs for i, t in items if runs(x) & runs(t)})
+    for rows_of_slice in (50_000, 7):
+        assert rows(leakage.leaks(d, e, slice_rows=rows_of_slice)) == want
+
+
 def test_word_hashes():
     texts = ["", "Straße_No. 7 — größer", "x" * 1000, "٣ アイ İx", "a a a"]
     want = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
