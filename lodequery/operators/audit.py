@@ -172,25 +172,58 @@ def timeline(log: DataFrame) -> DataFrame:
 
 
 def replay_summary(log: DataFrame) -> DataFrame:
-    """``session_id, entries, first_at, last_at, duration_ms, executed, blocked, alerts, status``.
+    """``session_id, entries, first_at, last_at, duration_ms, proposed, executed, blocked, alerts, status``, and, where the log
+    has an ``agent_id`` or a ``task``, the first agent and the last task.
 
-    The last completion, stop or failure decides the status; without one a session is running.
+    The last completion, stop or failure decides the status; without one a session is running. A log may name what was
+    done in ``stage`` and ``result``, too.
     """
     order = F.struct("ts", "event_id")
-    decided = F.when(F.col("event_type") == "SESSION_COMPLETED", "COMPLETED").when(F.col("event_type") == "SESSION_STOPPED", "STOPPED").when(F.col("event_type") == "ACTION_FAILED", "FAILED")
+    also = lambda c, x: F.coalesce(F.col(c) == x, F.lit(False)) if c in log.columns else F.lit(False)
+    event = F.col("event_type")
+    decided = F.when(event == "SESSION_COMPLETED", "COMPLETED").when((event == "SESSION_STOPPED") | also("stage", "SESSION_STOPPED"), "STOPPED").when((event == "ACTION_FAILED") | also("result", "failure"), "FAILED")
+    named = [F.min_by("agent_id", F.when(F.col("agent_id").isNotNull(), order)).alias("agent_id")] if "agent_id" in log.columns else []
+    named += [F.max_by("task", F.when(F.col("task").isNotNull(), order)).alias("task")] if "task" in log.columns else []
     each = log.groupBy("session_id").agg(
         F.count("*").alias("entries"),
         F.min("ts").alias("first_at"),
         F.max("ts").alias("last_at"),
-        F.count_if(F.col("event_type") == "ACTION_EXECUTED").alias("executed"),
-        F.count_if(F.col("event_type") == "ACTION_BLOCKED").alias("blocked"),
+        F.count_if((event == "ACTION_PROPOSED") | also("stage", "ACTION_PROPOSED")).alias("proposed"),
+        F.count_if((event == "ACTION_EXECUTED") | also("stage", "ACTION_EXECUTED")).alias("executed"),
+        F.count_if((event == "ACTION_BLOCKED") | also("stage", "ACTION_DENIED") | also("result", "blocked")).alias("blocked"),
         F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("alerts"),
         F.max_by(decided, F.when(decided.isNotNull(), order)).alias("status"),
+        *named,
     )
     span = F.unix_millis(F.col("last_at").cast("timestamp")) - F.unix_millis(F.col("first_at").cast("timestamp"))
     return each.withColumn("duration_ms", span).withColumn("status", F.coalesce("status", F.lit("RUNNING")))
 
 
+def report(log: DataFrame, session_id) -> str:
+    """One session as text: its summary, its alerts, its steps and its browser actions, if there are any. The entries of
+    the session are gathered."""
+    rows = log.where(F.col("session_id") == session_id)
+    found = replay_summary(rows).first()
+    if found is None:
+        return f"Session {session_id}: no entries"
+    s = found.asDict()
+    parts = [f"Session:  {session_id}", f"Agent:    {s.get('agent_id') or 'unknown'}", f"Status:   {s['status']}", f"Task:     {s.get('task') or 'none'}", f"Time:     {s['first_at']} to {s['last_at']} ({s['duration_ms']} ms)"]
+    parts.append(f"Entries:  {s['entries']}, of which {s['proposed']} proposed, {s['executed']} executed, {s['blocked']} blocked")
+    wanted = lambda df, columns: df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+    marked = wanted(alerts(rows).orderBy("ts", "event_id"), ("ts", "severity", "event_type", "reason")).collect()
+    if marked:
+        parts += ["", f"Alerts ({len(marked)})", *(f"  [{r['severity']}] {r['event_type']}: {r['reason'] or ''} at {r['ts']}" for r in marked)]
+    steps = wanted(timeline(rows).orderBy("step"), ("step", "ts", "event_type", "action", "target", "policy_decision", "result", "severity", "reason")).collect()
+    parts += ["", f"Steps ({len(steps)})"]
+    for r in steps:
+        notes = [f"{n} {r[c]}" for n, c in (("decision", "policy_decision"), ("result", "result"), ("severity", "severity"), ("reason", "reason")) if r[c] and r[c] != "INFO"]
+        parts.append(f"  {r['step']}. {r['ts']} {r['event_type']}: {r['action'] or 'none'} {r['target'] or ''}".rstrip() + (f" ({', '.join(notes)})" if notes else ""))
+    trace = wanted(browser_trace(rows).orderBy("ts", "event_id"), ("ts", "action", "target", "result")).collect() if "action" in rows.columns else []
+    if trace:
+        parts += ["", f"Browser actions ({len(trace)})", *(f"  {r['ts']} {r['action']} {r['target'] or ''} ({r['result'] or 'proposed'})" for r in trace)]
+    return "\n".join(parts)
+
+
 #: Actions of a browser.
 BROWSER_ACTIONS = "navigate click fill submit read evaluate hover pressKey".split()
 

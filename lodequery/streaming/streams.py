@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +22,22 @@ def first_of_nonce(df: DataFrame, keys: list[str], ts: str = "ts", skew: str = S
     return df.withWatermark(ts, skew).dropDuplicatesWithinWatermark(keys)
 
 
+def redeem_once(uses: DataFrame, tokens: DataFrame, ts: str = "ts", late: str = SKEW) -> DataFrame:
+    """Uses ``token, digest, ts`` of stored tokens (``token, digest, expires_at``, a table) that hold: of the same digest, not
+    expired, and the first of their token. The state of a token goes once it can't be used any more: when the watermark
+    has passed the lateness after its first use, by which all later uses are of no effect if tokens live no longer."""
+    held = tokens.select("token", F.col("digest").alias("_approved"), "expires_at")
+    good = uses.withWatermark(ts, late).join(held, "token").where((F.col("digest") == F.col("_approved")) & (F.col(ts) <= F.col("expires_at")))
+    return good.drop("_approved", "expires_at").dropDuplicatesWithinWatermark(["token"])
+
+
+def subscribe(df: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Calls ``handler(rows, batch)`` for each batch of a stream, at least once each; runs until stopped, or, without
+    ``every`` (as "10 seconds"), until what there is has been read. Returns the running query."""
+    writer = df.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def within_skew(df: DataFrame, now, ts: str = "ts", seconds: int = 300) -> DataFrame:
     return df.where(F.abs(F.unix_seconds(F.col(ts)) - F.unix_seconds(F.lit(now).cast("timestamp"))) <= seconds)
 

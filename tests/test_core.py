@@ -266,6 +266,17 @@ def test_replay(spark):
     assert audit.replay_summary(log.where("event_id < 3")).first()["status"] == "RUNNING"
 
 
+def test_report(spark):
+    made = [("s", T0 + dt.timedelta(seconds=i), i, t, a, st, res, sev, ag, task) for i, (t, a, st, res, sev, ag, task) in enumerate([
+        ("SESSION_CREATED", None, None, None, "INFO", None, "first"), ("ACTION_PROPOSED", "click", None, None, "INFO", "a1", "second"), ("X", "click", "ACTION_DENIED", None, "HIGH", "a2", None), ("Y", None, None, "failure", None, None, None)])]
+    log = spark.createDataFrame(made, "session_id string, ts timestamp_ntz, event_id bigint, event_type string, action string, stage string, result string, severity string, agent_id string, task string")
+    r = audit.replay_summary(log).first()
+    assert (r["status"], r["agent_id"], r["task"], r["proposed"], r["blocked"], r["alerts"]) == ("FAILED", "a1", "second", 1, 1, 1)
+    text = audit.report(log, "s")
+    assert "Status:   FAILED" in text and "Alerts (1)" in text and "Steps (4)" in text and "2. 2024-01-01 00:00:01 ACTION_PROPOSED: click" in text and "Browser actions (1)" in text
+    assert audit.report(log, "nobody") == "Session nobody: no entries"
+
+
 def test_folds_and_metrics(spark):
     calls = spark.createDataFrame([("r", i, t) for i, t in enumerate((0, 10, 20, 60_000, 60_005, 60_011))], "rule string, n int, at bigint")
     out = folds.sliding_admissions(calls, "rule", "at", 2, ["at", "n"]).orderBy("n").collect()

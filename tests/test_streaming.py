@@ -57,3 +57,18 @@ def test_rate_limit(spark, events, tmp_path):
 def test_event_time(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 12),)], "ts timestamp_ntz")
     assert S.as_event_time(df).first()["ts"].replace(tzinfo=None).hour in range(24) and dict(S.as_event_time(df).dtypes)["ts"] == "timestamp"
+
+
+def test_tokens_hold_once(spark, events, tmp_path):
+    _, stream = events
+    tokens = spark.createDataFrame([(f"n{i}", "d", T0 + dt.timedelta(seconds=100)) for i in range(20)], "token string, digest string, expires_at timestamp")
+    uses = stream().withColumn("token", F.col("nonce")).withColumn("digest", F.when(F.col("event_id") == 3, "other").otherwise("d"))
+    out = run(spark, S.redeem_once(uses, tokens, late="1 hour"), "tokens", "append", tmp_path)
+    assert sorted(r["event_id"] for r in out.collect()) == [i for i in range(15) if i != 3]
+
+
+def test_subscription(spark, events, tmp_path):
+    _, stream = events
+    seen = []
+    q = S.subscribe(stream(), lambda rows, batch: seen.append((batch, rows.count())), str(tmp_path))
+    assert q.awaitTermination(120) and sum(n for _, n in seen) == 120
