@@ -669,7 +669,8 @@ def entity_groups(entities: DataFrame, bucket: int = BUCKET, lexicon: Lexicon =
     whatever their names, are not read.
     """
     cur = current_version(entities.select("entity_id", "entity_type", "canonical_name", "aliases", "updated_at", "seq"), "entity_id")
-    cur = cur.where(F.col("entity_type").isin(PERSON, ORGANIZATION)).withColumnRenamed("entity_type", "kind")
+    cur = cur.where(F.col("entity_type").isin(PERSON, ORGANIZATION)).select("entity_id", F.col("entity_type").alias("kind"), "canonical_name", "aliases")
+    cur = written(cur, "current")
     names = written(cur.mapInArrow(_parsed(lexicon), "entity_id string, kind string, name string, state string"), "names")
     full = names.where("state = 'full'")
     fits = written(aligned_names(names.where("state <> 'bare'"), bucket, lexicon), "fits")
@@ -686,12 +687,13 @@ def entity_groups(entities: DataFrame, bucket: int = BUCKET, lexicon: Lexicon =
     loose = weak_names.join(full.select("entity_id").distinct(), "entity_id", "left_anti")
     by_fit = both.join(states.withColumnRenamed("name", "short"), ["kind", "short"]).select(F.col("short").alias("name"), node("kind", "full").alias("full_node")).join(of_name, "full_node").select("name", "group_id")
     by_alias = weak_names.join(grouped, "entity_id").select("name", "group_id")
-    one = by_fit.unionByName(by_alias).groupBy("name").agg(F.min("group_id").alias("group_id"), F.max("group_id").alias("other")).where("group_id = other").select("name", "group_id")
-    known = by_fit.unionByName(by_alias).select("name").distinct()
+    known = written(by_fit.unionByName(by_alias).groupBy("name").agg(F.min("group_id").alias("group_id"), F.max("group_id").alias("other")), "known")
+    one = known.where("group_id = other").select("name", "group_id")
     placed = loose.join(one, "name").groupBy("entity_id").agg(F.min("group_id").alias("group_id"), F.max("group_id").alias("other")).where("group_id = other").select("entity_id", "group_id")
+    placed = written(placed, "placed")
     # Names with initials that fit no full name: equal ones are the same.
-    orphans = loose.join(known, "name", "left_anti").join(placed, "entity_id", "left_anti").groupBy("entity_id").agg(F.concat(F.lit("i:"), F.min("name")).alias("group_id"))
-    first = grouped.unionByName(placed).unionByName(orphans)
+    orphans = loose.join(known.select("name"), "name", "left_anti").join(placed, "entity_id", "left_anti").groupBy("entity_id").agg(F.concat(F.lit("i:"), F.min("name")).alias("group_id"))
+    first = written(grouped.unionByName(placed).unionByName(orphans), "first")
     rest = cur.select("entity_id").join(first, "entity_id", "left_anti").select("entity_id", F.concat(F.lit("e:"), "entity_id").alias("group_id"))
     return first.unionByName(rest)
 
