@@ -677,15 +677,19 @@ def entity_groups(entities: DataFrame, bucket: int = BUCKET, lexicon: Lexicon =
     node = lambda kind, name: F.concat(F.lit("n:"), F.substring(kind, 1, 1), F.lit(":"), name)
     states = names.where("state = 'initial'").select("kind", F.col("name")).distinct()
     strong = fits.where(F.col("fit") == SAME_ENTITY)
-    links = full.select(F.concat(F.lit("e:"), "entity_id").alias("a"), node("kind", "name").alias("b")).unionByName(strong.select(node("kind", "a").alias("a"), node("kind", "b").alias("b")))
-    joined = written(components(links), "joined")
+    # Nodes are names: an entity links its first one with its others, and stands where that one stands.
+    own = full.select("entity_id", node("kind", "name").alias("node"))
+    first = written(own.groupBy("entity_id").agg(F.min("node").alias("node"), F.max("node").alias("last")), "first")
+    several = own.join(first.where("node <> last").select("entity_id", F.col("node").alias("a")), "entity_id").where("a <> node").select("a", F.col("node").alias("b"))
+    joined = written(components(several.unionByName(strong.select(node("kind", "a").alias("a"), node("kind", "b").alias("b"))).distinct()), "joined")
+    of = lambda df: df.join(joined, "node", "left").withColumn("group_id", F.coalesce("component", "node"))
     # Names with initials: the groups that they fit, by alias or by alignment.
-    grouped = joined.where("node like 'e:%'").select(F.expr("substring(node, 3)").alias("entity_id"), F.col("component").alias("group_id"))
-    of_name = joined.where("node like 'n:%'").select(F.col("node").alias("full_node"), F.col("component").alias("group_id"))
+    grouped = written(of(first).select("entity_id", "group_id"), "grouped")
     both = fits.select("kind", F.col("a").alias("short"), F.col("b").alias("full")).unionByName(fits.select("kind", F.col("b").alias("short"), F.col("a").alias("full")))
     weak_names = names.where("state = 'initial'")
     loose = weak_names.join(full.select("entity_id").distinct(), "entity_id", "left_anti")
-    by_fit = both.join(states.withColumnRenamed("name", "short"), ["kind", "short"]).select(F.col("short").alias("name"), node("kind", "full").alias("full_node")).join(of_name, "full_node").select("name", "group_id")
+    by_fit = both.join(states.withColumnRenamed("name", "short"), ["kind", "short"]).select(F.col("short").alias("name"), node("kind", "full").alias("node"))
+    by_fit = of(by_fit.join(own.select("node").distinct(), "node", "left_semi")).select("name", "group_id")
     by_alias = weak_names.join(grouped, "entity_id").select("name", "group_id")
     known = written(by_fit.unionByName(by_alias).groupBy("name").agg(F.min("group_id").alias("group_id"), F.max("group_id").alias("other")), "known")
     one = known.where("group_id = other").select("name", "group_id")
@@ -693,9 +697,9 @@ def entity_groups(entities: DataFrame, bucket: int = BUCKET, lexicon: Lexicon =
     placed = written(placed, "placed")
     # Names with initials that fit no full name: equal ones are the same.
     orphans = loose.join(known.select("name"), "name", "left_anti").join(placed, "entity_id", "left_anti").groupBy("entity_id").agg(F.concat(F.lit("i:"), F.min("name")).alias("group_id"))
-    first = written(grouped.unionByName(placed).unionByName(orphans), "first")
-    rest = cur.select("entity_id").join(first, "entity_id", "left_anti").select("entity_id", F.concat(F.lit("e:"), "entity_id").alias("group_id"))
-    return first.unionByName(rest)
+    some = written(grouped.unionByName(placed).unionByName(orphans), "some")
+    rest = cur.select("entity_id").join(some, "entity_id", "left_anti").select("entity_id", F.concat(F.lit("e:"), "entity_id").alias("group_id"))
+    return some.unionByName(rest)
 
 
 def same_entities(entities: DataFrame, bucket: int = BUCKET, expand: int | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
