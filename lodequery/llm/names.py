@@ -472,13 +472,16 @@ def _name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.add(x["v"], kind, name, x["place"], -1, x["own"], True, role, "v")
         if hot:
             tokens = name.split(" ")
+            words = [i for i, t in enumerate(tokens) if t[0] != "="]
             if not short:
                 hot.sort()
                 for i, (w, q, own_q) in enumerate(hot):
                     for v, p, own_p in hot[:i]:
                         if p != q:
-                            out.add(_hash("d", v, w), kind, name, p, q, own_p, own_q, 0, "d")
-            words = [i for i, t in enumerate(tokens) if t[0] != "="]
+                            # An organisation's other words keep their first letters, but for edited ones; of these there are
+                            # at most two, so they are p and q of one of the keys.
+                            rest = "".join(sorted(tokens[j][0] for j in words if j not in (p, q))) if kind == ORGANIZATION else ""
+                            out.add(_hash("d", v, w, rest), kind, name, p, q, own_p, own_q, 0, "d")
             for v, p, own in hot:
                 others = [tokens[i] for i in words if i != p]
                 if kind == PERSON:
@@ -510,10 +513,10 @@ def _may_pair(x: tuple, y: tuple, kind: str, made: str, lexicon: Lexicon) -> boo
     tokens have the token itself for a key), nor if the tokens that the key is made of don't go together.
 
     Rows: name, tokens, p, q, own_p, own_q, role, and the words at other places."""
-    if x[6] and x[6] == y[6] or x[0] == y[0]:
+    if x[0] == y[0] or x[6] and x[6] == y[6]:
         return False
     a, b = x[1][x[2]], y[1][y[2]]
-    if a == b and not x[4] or lexicon.cost(kind, a, b) is None:
+    if a == b and not x[4] or a != b and lexicon.cost(kind, a, b) is None:
         return False
     if made in "dtps":
         a, b = x[1][x[3]], y[1][y[3]]
@@ -534,13 +537,17 @@ def _in_pairs(rows: list[tuple], kind: str, lexicon: Lexicon) -> Iterator[tuple[
     by: dict[str, list[tuple]] = {}
     for r in rows:
         by.setdefault(r[1][r[2]], []).append(r)
-    groups = list(by.items())
-    for i, (t, mine) in enumerate(groups):
-        if mine[0][4]:
-            yield from combinations(mine, 2)
-        for u, theirs in groups[:i]:
+    groups = [(t, *([r for r in mine if r[6] == role] for role in (0, 1, 2)), mine[0][4]) for t, mine in by.items()]
+    for i, (t, a, b, c, own) in enumerate(groups):
+        if own:
+            yield from combinations(a, 2)
+            yield from product(a, b + c)
+            yield from product(b, c)
+        for u, x, y, z, _ in groups[:i]:
             if lexicon.cost(kind, t, u) is not None:
-                yield from product(mine, theirs)
+                yield from product(a, x + y + z)
+                yield from product(b, x + z)
+                yield from product(c, x + y)
 
 
 _FIT = "kind string, a string, b string, fit int"
