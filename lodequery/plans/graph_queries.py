@@ -75,7 +75,7 @@ def related_entities(spark, d):
 def find_paths(spark, d):
     e, r, _ = graph(spark, d)
     paths = G.find_paths(e, r, HUB, "ent_technology_shared_runtime_01", 2)
-    return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(paths)], "path int, nodes array<string>, edges array<string>")
+    return spark.createDataFrame([(i, ">".join(n), ">".join(x)) for i, (n, x) in enumerate(paths)], "path int, nodes string, edges string")
 
 
 def related_documents(spark, d):
@@ -334,7 +334,7 @@ ORACLE |= {
 a as (select other, min_by(relationship_id, row(seq, relationship_id)) as edge, min(row(seq, relationship_id)) as pos from q where node = '{HUB}' and other not in ('{HUB}', 'ent_technology_shared_runtime_01') group by 1),
 p as (select ['{HUB}', other] as nodes, [relationship_id] as edges, 1 as depth, row(seq, relationship_id) as x, null as y from q where node = '{HUB}' and other = 'ent_technology_shared_runtime_01'
   union all select ['{HUB}', a.other, q.other], [edge, relationship_id], 2, a.pos, row(q.seq, relationship_id) from a join q on q.node = a.other where q.other = 'ent_technology_shared_runtime_01')
-select (row_number() over (order by depth, x, y) - 1)::int as path, nodes, edges from p order by depth, x, y limit 5""",
+select (row_number() over (order by depth, x, y) - 1)::int as path, array_to_string(nodes, '>') as nodes, array_to_string(edges, '>') as edges from p order by depth, x, y limit 5""",
     "repair_actions": f"""{_G}, w as (select * from r where exists (select 1 from e where entity_id = subject_entity_id) and exists (select 1 from e where entity_id = object_entity_id)),
 c as (select unnest(evidence_ids) as x from w)
 select (select count(*) from r) - (select count(*) from w) as deleted, (select count(*) from c where not exists (select 1 from v where evidence_id = x)) as pruned, (select sum(n - 1)::bigint from (select count(*) as n from w group by subject_entity_id, upper(predicate), object_entity_id)) as merged""",
