@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,31 +17,55 @@ DIMENSION, BIGRAM = 64, 1.5
 _SPLIT = re.compile(r"""[\s,.;:!?_/\-\(\)\[\]"']+""")
 
 
-@lru_cache(1 << 18)
-def _hash(token: str) -> int:
-    units = token.encode("utf-16-le")
-    h = FNV_BASIS
-    for i in range(0, len(units), 2):
-        h = ((h ^ (units[i] | units[i + 1] << 8)) * FNV_PRIME) & 0xFFFFFFFF
-    return 4294967296 - h if h >= 2147483648 else h
-
-
-@lru_cache(1 << 18)
-def _slot(token: str, dimension: int) -> tuple[int, int]:
-    return _hash(token) % dimension, 1 if _hash(token + "_sign") % 2 == 0 else -1
+def _fold_units(h: np.ndarray, units: np.ndarray) -> np.ndarray:
+    return (h ^ units) * np.uint32(FNV_PRIME)
+
+
+def _below(h: np.ndarray) -> np.ndarray:
+    """The magnitude of the hash read as a signed number."""
+    return np.where(h >= 1 << 31, (1 << 32) - h.astype(np.int64), h.astype(np.int64))
+
+
+def _slots(terms: list[str], dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot and the sign of each term: hashes of its UTF-16 units, and of these and "_sign", unit by unit for all terms."""
+    units = np.frombuffer("".join(terms).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint32)
+    size = np.fromiter(map(len, terms), np.int64, len(terms))
+    if len(units) != size.sum():  # characters of two units
+        size = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in terms), np.int64, len(terms))
+    start = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    start, left = start[order], np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")  # terms longer than each place
+    h = np.full(len(terms), FNV_BASIS, np.uint32)
+    for place, n in enumerate(left.tolist()):
+        h[:n] = _fold_units(h[:n], units[start[:n] + place])
+    sign = h
+    for c in "_sign":
+        sign = _fold_units(sign, np.uint32(ord(c)))
+    slots, signs = np.empty(len(terms), np.int64), np.empty(len(terms))
+    slots[order], signs[order] = _below(h) % dimension, np.where(_below(sign) % 2 == 0, 1.0, -1.0)
+    return slots, signs
+
+
+def embed_texts(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
+    """A row of unit length, or of zeros where there are no tokens, for each text."""
+    terms: list[str] = []
+    of, weights = [], []
+    for i, text in enumerate(texts):
+        tokens = [t for t in _SPLIT.split(text.lower()) if t]
+        terms += tokens
+        terms += map("{}_{}".format, tokens, tokens[1:])
+        pairs = max(len(tokens) - 1, 0)
+        of.append(len(tokens) + pairs)
+        weights += [1.0] * len(tokens) + [BIGRAM] * pairs
+    slots, signs = _slots(terms, dimension)
+    row = np.repeat(np.arange(len(texts)), of)
+    v = np.bincount(row * dimension + slots, signs * np.array(weights), len(texts) * dimension).astype(float).reshape(len(texts), dimension)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
 def _embed(text: str, dimension: int) -> np.ndarray:
-    v = np.zeros(dimension)
-    tokens = [t for t in _SPLIT.split(text.lower()) if t]
-    for i, t in enumerate(tokens):
-        slot, sign = _slot(t, dimension)
-        v[slot] += sign
-        if i + 1 < len(tokens):
-            slot, sign = _slot(f"{t}_{tokens[i + 1]}", dimension)
-            v[slot] += BIGRAM * sign
-    n = np.sqrt((v * v).sum())
-    return v / n if n else v
+    return embed_texts([text], dimension)[0]
 
 
 def embed_query(text: str, dimension: int = DIMENSION) -> list[float]:
@@ -55,7 +78,12 @@ def embed_udf(dimension: int = DIMENSION):
     @F.pandas_udf("array<double>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([None if t is None else _embed(t, dimension).tolist() for t in s])
+            made = []
+            for a in range(0, len(s), 1000):
+                part = [t if isinstance(t, str) else None for t in s[a : a + 1000]]
+                v = embed_texts([t or "" for t in part], dimension)
+                made += [None if t is None else row for t, row in zip(part, v)]
+            yield pd.Series(made)
 
     return embed
 
