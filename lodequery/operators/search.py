@@ -134,22 +134,43 @@ def bm25_search(records: DataFrame, query: str, k: int = TOP_K, where: Mapping[s
     return counted.where(_passes(where)).select("id", "seq", score.alias("sparse_score")).orderBy(F.col("sparse_score").desc(), "seq").limit(max(1, k))
 
 
-def bm25_search_many(records: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
+#: Share of the records from which a term counts as frequent in :func:`bm25_search_many`.
+FREQUENT = 0.02
+
+
+def bm25_search_many(records: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, frequent: float = FREQUENT) -> DataFrame:
     """``query_id, id, seq, sparse_score`` for a table ``query_id, query`` of any size, over the inverted index.
 
-    Postings are joined with the queries' terms on the term, so only postings of asked terms go further.
+    Postings are joined with the queries' terms on the term, so only postings of asked terms go further. Those of frequent
+    terms come last: where the k best by the rare terms alone score more than all frequent terms of the query can give
+    together, no record without a rare term is among the k best, so frequent postings are only joined for the records that
+    can still be. Other queries are scored with all postings. The result is the same for every ``frequent``.
     """
-    post, lengths = postings(records)
+    post, lengths = (written(x, "index") for x in postings(records))
+    k = max(1, k)
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    post = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    df = post.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()  # one row
     n, average = total["n"], total["average"] or 1.0
-    hits = asked.join(df, "term").join(post, "term").join(lengths.select("id", "dl"), "id")
-    part = F.col("times") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    scored = hits.groupBy("query_id", "id", "seq").agg(F.sum(part).alias("sparse_score"))
+    weight = F.col("times") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = written(asked.join(df, "term").select("query_id", "term", weight.alias("weight"), (F.col("df") > frequent * n).alias("frequent")), "asked")
+    part = F.col("weight") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+    sized = post.join(lengths.select("id", "dl"), "id")
     w = Window.partitionBy("query_id").orderBy(F.round("sparse_score", 9).desc(), "seq")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(1, k)).drop("place")
+
+    def scored(terms: DataFrame) -> DataFrame:
+        return terms.join(sized, "term").groupBy("query_id", "id", "seq").agg(F.sum(part).alias("sparse_score"))
+
+    rare = written(scored(asked.where("not frequent")), "rare")
+    floor = rare.withColumn("place", F.row_number().over(w)).where(F.col("place") == k).select("query_id", F.col("sparse_score").alias("floor"))
+    most = asked.groupBy("query_id").agg(F.sum(F.when(F.col("frequent"), F.col("weight") * (k1 + 1)).otherwise(0.0)).alias("most"))
+    bounds = written(most.join(floor, "query_id", "left").withColumn("settled", F.coalesce(F.col("floor") > F.col("most") + 1e-6, F.lit(False))), "bounds")
+    settled = bounds.where("settled")
+    near = rare.join(settled, "query_id").where(F.col("sparse_score") + F.col("most") >= F.col("floor") - 1e-6).select("query_id", "id", "seq", "sparse_score")
+    more = near.select("query_id", "id", "seq").join(asked.where("frequent"), "query_id").join(sized.drop("seq"), ["term", "id"]).select("query_id", "id", "seq", part.alias("sparse_score"))
+    few = near.unionByName(more).groupBy("query_id", "id", "seq").agg(F.sum("sparse_score").alias("sparse_score"))
+    rest = scored(asked.join(bounds.where("not settled").select("query_id"), "query_id", "left_semi"))
+    return few.unionByName(rest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
 
 
 def fuse(dense: DataFrame | None, sparse: DataFrame | None, k: int = TOP_K, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, normalizer=min_max) -> DataFrame:

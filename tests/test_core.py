@@ -128,6 +128,18 @@ def test_search(spark):
     assert (e["recall"], e["precision"], e["mrr"]) == (0.5, 0.25, 0.25)
 
 
+def test_many_searches_equal_single_ones(spark):
+    random.seed(12)
+    common, rare = [f"common{i}" for i in range(4)], [f"rare{i}" for i in range(60)]
+    made = [(f"d{i:03}", i, " ".join(random.choices(common, k=6) + random.choices(rare, k=random.randint(0, 4))), None) for i in range(150)]
+    recs = spark.createDataFrame(made, "id string, seq bigint, text string, metadata string")
+    asked = [(i, " ".join(random.sample(common, 2) + random.sample(rare, i % 4))) for i in range(12)]
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    want = {(i, r["id"], round(r["sparse_score"], 6)) for i, text in asked for r in search.bm25_search(recs, text, 3).collect()}
+    for frequent in (0.0, 0.1, 2.0):
+        assert {(r["query_id"], r["id"], round(r["sparse_score"], 6)) for r in search.bm25_search_many(recs, q, 3, frequent=frequent).collect()} == want
+
+
 def test_tokens_and_names(spark):
     assert value(spark, T.bm25_tokens(F.lit("The München-Café is_a ２０２４ ﬁle"))) == T.query_terms("The München-Café is_a ２０２４ ﬁle") == ["mu", "nchen", "cafe", "2024", "file"]
     names = {"  Microsoft Corp.  ": "microsoft corp", "Café München": "cafe munchen", "Node.js!": "node.js", "...": ""}
@@ -611,7 +623,7 @@ def service():
                 made = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])][::-1]}
             else:
                 text = body["messages"][1]["content"]
-                made = {"choices": [{"message": {"content": json.dumps({"entities": [{"name": text, "type": "X", "confidence": 1}]}) if text != "bad" else "no JSON"}}]}
+                made = {"choices": [{"message": {"content": json.dumps({"entities": [{"name": text, "type": "X", "confidence": 1}], "relations": [{"subject": text, "predicate": "depends on", "object": "B"}]}) if text != "bad" else "no JSON"}}]}
             out = json.dumps(made).encode()
             self.send_response(200)
             self.end_headers()
@@ -627,13 +639,17 @@ def service():
 
 
 def test_remote(spark, service):
-    from lodequery.sources.remote import extract_remote, with_remote_embedding
+    from lodequery.sources.remote import call_remote, extract_remote, extract_remote_relations, with_remote_embedding
 
     df = spark.createDataFrame([("a", "xx", None), ("b", "y", [9.0, 9.0]), ("c", None, None), ("d", "zzz", None)], "id string, text string, vector array<double>").coalesce(1)
     assert {r["id"]: r["vector"] for r in with_remote_embedding(df, service, "m", 2).collect()} == {"a": [2.0, 1.0], "b": [9.0, 9.0], "c": None, "d": [3.0, 1.0]}
     chunks = spark.createDataFrame([("d", "c1", "Ada"), ("d", "c2", "bad")], "document_id string, chunk_id string, text string")
     assert rows(extract_remote(chunks, service, "m", "find").select("chunk_id", "name")) == [("c1", "Ada")]
     assert extract_remote(chunks, "http://127.0.0.1:9", "m", "find").count() == 0
+    assert rows(extract_remote_relations(chunks, service, "m", "find")) == [("d", "c1", "Ada", "DEPENDS_ON", "B", 0.5, "Ada")]
+    requests = spark.createDataFrame([(1, '{"x": 2}'), (2, None), (3, "no json")], "request_id int, input string")
+    done = {r["request_id"]: (r["status"], r["output"]) for r in call_remote(requests, lambda i: {"double": i["x"] * 2}).collect()}
+    assert done[1] == ("COMPLETED", '{"double": 4}') and done[2][0] == done[3][0] == "FAILED"
 
 
 def test_clean(spark):
