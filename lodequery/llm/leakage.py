@@ -94,9 +94,10 @@ def _joined_maps(parts: list[bytes]) -> np.ndarray:
 
 
 def _map_of(rows: DataFrame, column: str):
-    """The bit map of a column of hashes, on all executors; at most 8 maps come to the driver."""
+    """The bit map of a column of hashes, on all executors: at most 64 maps are made, 8 of them brought together in a task,
+    and 8 come to the driver."""
     one = lambda t: pa.table({"bits": pa.array([zlib.compress(_joined_maps(t.column("bits").to_pylist()).tobytes(), 1)])})
-    parts = rows.select(column).mapInArrow(_part_map(column), "part int, bits binary").groupBy("part").applyInArrow(one, "bits binary").collect()
+    parts = rows.select(column).coalesce(64).mapInArrow(_part_map(column), "part int, bits binary").groupBy("part").applyInArrow(one, "bits binary").collect()
     return rows.sparkSession.sparkContext.broadcast(zlib.compress(_joined_maps([r[0] for r in parts]).tobytes(), 1))
 
 
