@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodequery.plans import graph_queries, log_queries, reference_queries, search_queries
+from lodequery.plans import graph_queries, log_queries, reference_queries, search_queries, store_queries
 
-MODULES = (search_queries, graph_queries, log_queries, reference_queries)
+MODULES = (search_queries, graph_queries, log_queries, reference_queries, store_queries)
 
 
 def queries() -> dict:
