@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -91,6 +92,16 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else final.getFileSystem(conf).getUri(), conf).rename(part, final, how)
 
 
+class TableStore(Protocol):
+    """Where a collection's records are kept: what a :class:`CollectionStore` asks of a storage."""
+
+    def read(self) -> DataFrame | None: ...
+
+    def put(self, df: DataFrame) -> None: ...
+
+    def drop(self) -> None: ...
+
+
 class _Versions:
     """Tables kept as folders of one version each and a small file that names the current one. A new version is whole
     before the name changes, so a reader sees the old one or the new one and a crash loses neither; the version before is
@@ -107,6 +118,13 @@ class _Versions:
         names = self._names()
         return f"{self.path}/{names[0]}" if names else None
 
+    def read(self) -> DataFrame | None:
+        path = self.current()
+        return self.spark.read.parquet(path) if path else None
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
     def put(self, df: DataFrame) -> None:
         names = self._names()
         new = f"v-{uuid.uuid4().hex}"
@@ -118,10 +136,10 @@ class _Versions:
 
 class CollectionStore:
     """Collections of records below a folder: ``manifest.json``, and ``records/collection_id=.../``, where each change is a
-    new version (:class:`_Versions`)."""
+    new version (:class:`_Versions`). ``table(spark, path)``: another storage for the records."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, table: Callable[[SparkSession, str], TableStore] = _Versions):
+        self.spark, self.base, self.table = spark, base.rstrip("/"), table
 
     def manifest(self) -> dict | None:
         text = _read_text(self.spark, f"{self.base}/manifest.json")
@@ -160,7 +178,7 @@ class CollectionStore:
         if held is None or len(kept) == len(held["collections"]):
             return False
         self._save(held | {"collections": kept})
-        _delete(self.spark, f"{self.base}/records/collection_id={cid}")
+        self._table(cid).drop()
         return True
 
     def with_counts(self) -> list[dict]:
@@ -173,14 +191,14 @@ class CollectionStore:
             raise KeyError(cid)
         return info
 
-    def _table(self, cid: str) -> _Versions:
-        return _Versions(self.spark, f"{self.base}/records/collection_id={collection_id(cid)}")
+    def _table(self, cid: str) -> TableStore:
+        return self.table(self.spark, f"{self.base}/records/collection_id={collection_id(cid)}")
 
     def records(self, cid: str) -> DataFrame:
-        path = self._table(cid).current()
-        if path is None:
+        stored = self._table(cid).read()
+        if stored is None:
             return self.spark.createDataFrame([], RECORD)
-        return self.spark.read.parquet(path).withColumn("collection_id", F.lit(cid)).select(*_NAMES)
+        return stored.withColumn("collection_id", F.lit(cid)).select(*_NAMES)
 
     def upsert(self, cid: str, new: DataFrame, embed: Callable[[DataFrame, int], DataFrame] = with_embedding) -> None:
         """Records with the new ones in place of those of equal ids; of several new ones of an id the last by seq counts.

@@ -559,6 +559,28 @@ def test_stores(spark, tmp_path):
             stores.collection_id(bad)
 
 
+def test_another_storage(spark, tmp_path):
+    held = {}
+
+    class Memory:
+        def __init__(self, spark, path):
+            self.spark, self.path = spark, path
+
+        def read(self):
+            return self.spark.createDataFrame(*held[self.path]) if self.path in held else None
+
+        def put(self, df):
+            held[self.path] = df.collect(), df.schema
+
+        def drop(self):
+            held.pop(self.path, None)
+
+    store = stores.CollectionStore(spark, str(tmp_path), table=Memory)
+    cid = store.create("one", 2)
+    store.upsert(cid, spark.createDataFrame([("a", [1.0, 2.0], 1)], "id string, vector array<double>, seq bigint"))
+    assert store.records(cid).first()["vector"] == [1.0, 2.0] and len(held) == 1 and store.drop(cid) and not held
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"id": "a", "vector": [1, 2]}\n')
     assert stores.read_records_jsonl(spark, str(tmp_path / "r.jsonl")).first()["vector"] == [1.0, 2.0]
