@@ -290,10 +290,9 @@ def similar_pairs(records: DataFrame, collections: DataFrame, k: int = K, beam:
         valid = cool.unionByName(few)
     trees = _trees(valid, sizes, shard_rows, fanout)
     asks = valid.select("id", "collection_id", "vector").mapInArrow(_asks(trees, margin), _ASKS)
-    if trees:  # cells that came out large
-        asks = written(asks, "asks")
+    if trees:  # cells that came out large; asking again is cheaper than to keep a copy of the vectors for each cell asked
         large = asks.where("home").groupBy("collection_id", "cell").count().where(F.col("count") > 2 * shard_rows)
-        parts = large.select("collection_id", "cell", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
+        parts = written(large.select("collection_id", "cell", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts")), "parts")
         asks = asks.join(parts, ["collection_id", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == F.col("own"))).withColumn("asks", F.when(F.col("parts") > 1, 2).otherwise(F.col("asks")))
     else:
