@@ -20,6 +20,8 @@ from lodequery.storage import remove, written
 #: Default depth and the deepest, nodes and edges of a neighbourhood; depth and number of paths.
 DEPTH, DEEPEST, MAX_NODES, MAX_EDGES = 2, 5, 200, 500
 PATH_DEPTH, MAX_PATHS = 3, 5
+#: A walk's hubs: pairs through one for each of its starts and edges; starts or edges a block; pairs a task, and tasks.
+CROSSED, BLOCK, TASK_PAIRS, MAX_TASKS = 16, 1024, 1 << 21, 20_000
 OUT, IN, BOTH = "out", "in", "both"
 
 
@@ -121,17 +123,72 @@ def find_paths(entities: DataFrame, relationships: DataFrame, start: str, end: s
 
 def reach(relationships: DataFrame, starts: DataFrame, depth: int = DEPTH, direction: str = OUT, predicates: Sequence[str] | None = None) -> DataFrame:
     """``start, node, depth``: every node within ``depth`` steps of each of any number of starts (``start``), with the
-    least number of steps; the start itself at 0."""
+    least number of steps; the start itself at 0. Each level but the last is a written table, the last is a plan."""
     near = written(ends(relationships, direction, predicates).select("node", "other").distinct(), "ends")
     levels = [written(starts.select("start").where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "reach")]
-    for level in range(1, min(depth, DEEPEST) + 1):
-        new = levels[-1].join(near, "node").select("start", F.col("other").alias("node")).distinct()
-        for seen in levels:
-            new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        levels.append(written(new.withColumn("depth", F.lit(level)), "reach"))  # only what is new is written
+    deepest = min(depth, DEEPEST)
+    for level in range(1, deepest + 1):
+        new = _step(levels, near).select("start", "node", F.lit(level).alias("depth"))
+        levels.append(written(new, "reach") if level < deepest else new)  # only what is new is written
     return reduce(DataFrame.unionByName, levels)
 
 
+def _step(levels: list[DataFrame], near: DataFrame) -> DataFrame:
+    """``start, node``: what one step from the last of ``levels`` leads to, without what they have.
+
+    The pairs through a hub, a node of many starts and many edges, are not shuffled: blocks of its starts meet blocks of its
+    others, each two in one row, which is unfolded last. So that a pair comes out once, it belongs to the first hub that
+    both its ends have, and each end knows its hubs before this one. Pairs through other nodes, at most ``CROSSED`` times the
+    rows of the two tables, are made distinct by a shuffle, those that have a hub left out.
+    """
+    last = levels[-1].select("start", "node")
+    fans = last.groupBy("node").agg(F.count("*").alias("fan_in")).join(near.groupBy("node").agg(F.count("*").alias("fan_out")), "node")
+    fans = fans.withColumn("pairs", F.col("fan_in").cast("double") * F.col("fan_out")).where(F.col("pairs") > CROSSED * (F.col("fan_in") + F.col("fan_out")))
+    pairs = 0
+    if len(levels) > 1:  # the first step starts from one row a node
+        blocks = [F.ceil(F.col(c) / BLOCK).alias(n) for c, n in (("fan_in", "rows"), ("fan_out", "columns"))]
+        hubs = written(fans.orderBy(F.desc("pairs")).select("node", "pairs", *blocks, F.monotonically_increasing_id().alias("hub")), "hubs")
+        pairs = hubs.agg(F.sum("pairs")).first()[0]
+    if not pairs:
+        return _without(last.join(near, "node").select("start", F.col("other").alias("node")).distinct(), levels)
+
+    named = hubs.select("node", "hub")
+    listed = F.array_sort(F.collect_list("hub"))
+    of_start = written(last.join(named, "node").groupBy("start").agg(listed.alias("start_hubs")), "hubs")
+    of_node = written(near.join(named, "node").groupBy(F.col("other").alias("node")).agg(listed.alias("node_hubs")), "hubs")
+
+    other = last.join(named, "node", "left_anti").join(near, "node").select("start", F.col("other").alias("node")).distinct()
+    other = _without(other, levels).join(of_start, "start", "left").join(of_node, "node", "left")
+    other = other.where(~F.coalesce(F.arrays_overlap("start_hubs", "node_hubs"), F.lit(False))).select("start", "node")
+
+    sizes = hubs.select("hub", "rows", "columns")
+    row, column = (F.pmod(F.xxhash64(c), n).alias(a) for c, n, a in (("start", "rows", "row"), ("node", "columns", "column")))
+    sides = []
+    for found, end, block, name in ((of_start, "start", row, "starts"), (of_node, "node", column, "nodes")):
+        each = found.select(end, f"{end}_hubs", F.posexplode(f"{end}_hubs").alias("place", "hub")).join(sizes, "hub")
+        known = F.struct(F.col(end).alias("id"), F.slice(f"{end}_hubs", F.lit(1), F.col("place")).alias("before"))
+        sides.append(each.select("hub", block, known.alias("known")).groupBy("hub", "row" if end == "start" else "column").agg(F.collect_list("known").alias(name)))
+    met = reduce(DataFrame.unionByName, [x.select("start", "node") for x in levels]).join(of_start, "start").join(of_node, "node")
+    met = met.select("start", "node", F.array_min(F.array_intersect("start_hubs", "node_hubs")).alias("hub")).join(sizes, "hub").select("hub", row, column, "start", "node")
+    met = met.groupBy("hub", "row", "column", "start").agg(F.collect_list("node").alias("met"))
+    met = met.groupBy("hub", "row", "column").agg(F.map_from_entries(F.collect_list(F.struct("start", "met"))).alias("met"))
+
+    tasks = min(int(pairs // TASK_PAIRS) + 1, MAX_TASKS)  # by pairs, since the rows to unfold are few
+    crossed = sides[0].join(sides[1], "hub").repartition(tasks, "hub", "row", "column").join(met, ["hub", "row", "column"], "left")
+    # A function over the array keeps this explode out of the generated code of the next one, which holds all that a row becomes.
+    known = F.transform("starts", lambda s: F.struct(s["id"].alias("id"), s["before"].alias("before"), F.try_element_at("met", s["id"]).alias("met")))
+    crossed = crossed.select("nodes", F.explode(known).alias("s")).select("s", F.explode("nodes").alias("n"))
+    apart = (F.size("s.before") == 0) | (F.size("n.before") == 0) | ~F.arrays_overlap("s.before", "n.before")
+    fresh = F.col("s.met").isNull() | ~F.array_contains("s.met", F.col("n.id"))
+    return other.unionByName(crossed.where(apart & fresh).select(F.col("s.id").alias("start"), F.col("n.id").alias("node")))
+
+
+def _without(new: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    for seen in levels:
+        new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+    return new
+
+
 def degrees(relationships: DataFrame) -> DataFrame:
     """``entity_id, out_degree, in_degree, edges``; an edge from an entity to itself counts once among its edges."""
     e = ends(relationships)

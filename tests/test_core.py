@@ -226,6 +226,30 @@ def test_walks(spark, small_graph):
     assert rows(graph.related_documents(rel, evi).where("entity_id = 'B'")) == [("B", "doc1"), ("B", "doc2")]
 
 
+def test_reach_through_hubs(spark, monkeypatch):
+    """Pairs through hubs come out once, without those of fewer steps, and the last level's aren't written on the way."""
+    from lodequery import storage
+
+    monkeypatch.setattr(graph, "BLOCK", 16, raising=False)  # several blocks a hub
+    edges = {(f"s{i}", "h0") for i in range(50)} | {(f"s{i}", "h1") for i in range(30, 60)} | {("h0", f"t{i}") for i in range(50)} | {("h1", f"t{i}") for i in range(40, 80)}
+    edges |= {("s5", "t5"), ("s5", "t45"), ("s35", "t70"), ("h0", "h0"), ("h0", "h1"), ("h0", "s7"), ("h1", "s40"), ("s0", "x"), ("x", "t0"), ("x", "y"), ("t3", "s3")}
+    rel = spark.createDataFrame([(f"r{i}", a, "USES", b, i) for i, (a, b) in enumerate(sorted(edges))], "relationship_id string, subject_entity_id string, predicate string, object_entity_id string, seq bigint")
+    nodes = sorted({n for e in edges for n in e})
+    for depth in (2, 3):
+        expected = {(n, n): 0 for n in nodes}
+        for level in range(1, depth + 1):
+            for (s, m), at in list(expected.items()):
+                if at == level - 1:
+                    for a, b in edges:
+                        if a == m:
+                            expected.setdefault((s, b), level)
+        before = len(storage._made)
+        found = graph.reach(rel, spark.createDataFrame([(n,) for n in nodes], "start string"), depth)
+        assert rows(found) == sorted((s, n, at) for (s, n), at in expected.items())
+        made = sum(spark.read.parquet(path).count() for path in storage._made[before:])
+        assert depth > 2 or made < len(expected) / 4, made
+
+
 def test_star_is_capped(spark):
     ent = spark.createDataFrame([("hub", 0)] + [(f"n{i}", i + 1) for i in range(20)], "entity_id string, seq bigint")
     rel = spark.createDataFrame([(f"r{i}", "hub", "USES", f"n{i}", i) for i in range(20)], "relationship_id string, subject_entity_id string, predicate string, object_entity_id string, seq bigint")
